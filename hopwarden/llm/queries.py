@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopwarden.functions.packed import canonical_path
-from hopwarden.llm import distinct, duplicates, frequent
+from hopwarden.llm import bpe, distinct, duplicates, frequent, mixing
 from hopwarden.plans.registry import Registry
-from hopwarden.session import table
+from hopwarden.session import cut_lineage, table
 
 R = Registry()
 
@@ -126,3 +126,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     """One record per sighting with its number of copies."""
     return duplicates.collapse(table(spark, d, "new_link"), "id", _sighting())
+
+
+@R.query()
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), ["doc_id"])
+
+
+@R.query("select doc_id, true as same from documents")
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts encoded and decoded again: whether each comes back as it was (null as the empty text)."""
+    documents = table(spark, d, "documents")
+    ids = bpe.encode(documents.select("doc_id", "text", F.col("text").alias("was")), ["doc_id", "was"])
+    back = bpe.decode_ids(ids, ["doc_id", "was"])
+    return back.select("doc_id", (F.col("text") == F.coalesce("was", F.lit(""))).alias("same"))
+
+
+def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens), written once to the shared folder: the mix reads it several times."""
+    return cut_lineage(bpe.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]))
+
+
+@R.query()
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to use and how often, so that the sources reach their target shares of all tokens."""
+    return mixing.mix(_token_sizes(spark, d), table(spark, d, "mix_target"))
+
+
+@R.query()
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = _token_sizes(spark, d), table(spark, d, "mix_target")
+    return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
