@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopwarden.functions.packed import canonical_path
-from hopwarden.llm import bpe, distinct, duplicates, frequent, mixing
+from hopwarden.llm import bpe, distinct, duplicates, frequent, mixing, truncation
 from hopwarden.plans.registry import Registry
 from hopwarden.session import cut_lineage, table
 
@@ -157,3 +157,14 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     sizes, targets = _token_sizes(spark, d), table(spark, d, "mix_target")
     return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
+
+
+@R.query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+@R.query()
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation.truncation_report(table(spark, d, "documents"))
