@@ -108,7 +108,7 @@ def canonical_path(as_path: Column) -> Column:
             path_positions(as_path),
             lambda v: F.when(
                 v["grouped"], F.concat(F.lit("{"), F.array_join(F.array_sort(F.array_distinct(v["members"])), ","), F.lit("}"))
-            ).otherwise(v["members"][0].cast("string")),
+            ).otherwise(F.get(v["members"], F.lit(0)).cast("string")),
         ),
         " ",
     )
