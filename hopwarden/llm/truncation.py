@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from hopwarden.operators.skew import lookup
 from hopwarden.session import cut_lineage
 
-ORDERS = (2, 3, 4, 5, 6, 8, 10, 12, 16)
+ORDERS = (3, 4, 6, 8, 10, 12, 16)
 #: Weight of the shorter context when a longer one is added.
-WEIGHTS = {2: 2, 3: 2, 4: 2, 5: 4, 6: 8, 8: 8, 10: 8, 12: 8, 16: 8}
+WEIGHTS = {3: 2, 4: 2, 6: 8, 8: 8, 10: 8, 12: 8, 16: 8}
 ANCHOR = 0  # the order number of the second context
 ANCHOR_LENGTH = 8
 KNOWN = 20  # an ellipsis belongs to the text if its context of order 8 was met this often
@@ -39,27 +39,37 @@ DEFAULT_THRESHOLD = -3.0
 #: The threshold for texts that have the length of a limit of their source: these need less evidence.
 LIMIT_THRESHOLD = -1.0
 #: The second context cannot overrule log-odds below this.
-TRUSTED_FROM = -9.0
+TRUSTED_FROM = -13.0
 #: Characters worked on at once.
 BLOCK = 400_000
+#: Places for contexts of their own in a counting task (a power of two).
+SLOTS = 1 << 20
 MAX_BITS = 1 << 28
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(17)]
-_CUE, _END = 1, 2
+_CUE, _END, _TEXT_NEXT = 1, 2, 3
 _PAD = "\x00" * 16
 _CLOSERS = set(".!?…♪])>*#\"'»”")
 _TERMINAL = np.array([ord(c) for c in ".!?…"], np.uint32)
 _TIME_CODE = np.array([ord(c) for c in "0 :,->{}."] + list(range(32)), np.uint32)
 _MARKS = np.array([ord(c) for c in "…♪»«“”’"], np.uint32)
+_TIMES = re.compile(r"\x01(?:[0-9]+\n)?[0-9:.,]+[0-9](?: -{0,2}> |,)[0-9:.,]+[0-9]\n")
+_FRAMES = re.compile(r"[\n\x01]\{[0-9]+\}\{[0-9]+\}")
+_NO_TEXT = re.compile(r"\x01[0-9\n:., >{}\x03-]*\Z")
 _LINE_END = re.compile(r"[ \t\xa0]*(?:\r\n|\r|\n)")
 _DOTS = re.compile(r"[.…\s]+\Z")
 
 
 def normal(text: str) -> str:
-    """Lower case, line ends within a cue as spaces, the start of each cue as one mark; trailing white space goes."""
-    s = _LINE_END.sub("\n", text.lower().rstrip())
-    return s.replace("\n\n", "\x01").replace("\n{", "\x01{").replace("|", " ").replace("\n", " ")
+    """Lower case, line ends within a cue as spaces; trailing white space goes.
+
+    A cue begins with one mark and, if it has them whole, another for its number and times. A last cue of which no text
+    is left, be its number or times whole or not, is these two marks alone.
+    """
+    s = "\x01" + _LINE_END.sub("\n", text.lower().rstrip()).replace("\n\n", "\x01")
+    s = _FRAMES.sub("\x01\x03", _TIMES.sub("\x01\x03", s))
+    return _NO_TEXT.sub("\x01\x03", s).replace("|", " ").replace("\n", " ")
 
 
 def unpunctuated(s: str) -> bool:
@@ -77,10 +87,13 @@ class _Block:
     """Symbols of several normalised texts in one array, with what both passes need of them."""
 
     def __init__(self, texts: list[str], styles: list[bool]) -> None:
-        padded = [f"{_PAD}\x01{s}\x02" for s in texts]
+        padded = [f"{_PAD}{s}\x02" for s in texts]
         a = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.a = np.where((a >= 48) & (a < 58), np.uint32(48), a)
         self.sym = _mixed(self.a.astype(np.uint64) + np.uint64(12345))
+        self.short = self.sym.copy()  # hash of the shortest context at every position
+        for k in range(1, ORDERS[0]):
+            self.short[k:] += self.sym[:-k] * _POWERS[k]
         lengths = np.fromiter(map(len, padded), np.int64, len(padded))
         self.style = np.repeat(np.fromiter(styles, np.uint64, len(styles)) * np.uint64(77777), lengths)
         self.last = np.cumsum(lengths) - 2
@@ -91,7 +104,8 @@ class _Block:
 
     def contexts(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each order, the keys of the contexts at the positions; send() narrows the positions for the next."""
-        h, k = np.zeros(len(at), np.uint64), 0
+        k = ORDERS[0]
+        h = self.short[at]
         for o in ORDERS:
             while k < o:
                 h = h + self.sym[np.maximum(at - k, 0)] * _POWERS[k]
@@ -190,21 +204,34 @@ def _counter(shared, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.uint64)
-        total: tuple | None = None
+        slots = np.zeros(SLOTS, np.uint64)  # the key that has the slot; others wait in `held`
+        n, c = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         held: list[tuple] = []
+
+        def count(keys: np.ndarray, ended: np.ndarray) -> None:
+            slot = ((keys >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64)
+            free = np.flatnonzero(slots[slot] == 0)
+            slots[slot[free]] = keys[free]
+            own = slots[slot] == keys
+            n.__iadd__(np.bincount(slot[own], minlength=SLOTS))
+            c.__iadd__(np.bincount(slot[own & ended], minlength=SLOTS))
+            if not own.all():
+                rest = ~own
+                held.append((keys[rest], np.ones(int(rest.sum())), ended[rest].astype(np.float64)))
+
         for batch in batches:
             texts = [normal(t) for t in batch.column(0).to_pylist()]
             for _, some in _blocks(texts):
                 block = _Block(some, [unpunctuated(s) for s in some])
-                base = np.flatnonzero((block.a > 32) & (block.a != 160) & (block.next != _END))
-                at = base
-                found: list[tuple[np.ndarray, np.ndarray]] = []
+                base = np.flatnonzero((block.a > 32) & (block.a != 160) & (block.next != _END) | (block.a == _TEXT_NEXT))
+                ended = block.ended(base)
+                at, found = base, []
                 walk = block.contexts(at)
                 step = next(walk, None)
                 while step is not None:
                     keep = np.flatnonzero(marked(bitmap, step[1]))
-                    at = at[keep]
-                    found.append((step[1][keep], block.ended(at)))
+                    at, ended = at[keep], ended[keep]
+                    found.append((step[1][keep], ended))
                     try:
                         step = walk.send(keep) if len(keep) else None
                     except StopIteration:
@@ -213,16 +240,14 @@ def _counter(shared, bits: int):
                 keys, there = block.anchors(ends)
                 keep = np.flatnonzero(there & marked(bitmap, keys))
                 found.append((keys[keep], block.ended(ends[keep])))
-                keys = np.concatenate([k for k, _ in found])
-                ended = np.concatenate([e for _, e in found])
-                held.append(merge([(keys, np.ones(len(keys)), ended.astype(np.float64))]))
+                count(np.concatenate([k for k, _ in found]), np.concatenate([e for _, e in found]))
                 if sum(len(k) for k, _, _ in held) > 1_500_000:
-                    held = [merge(held)]
+                    held[:] = [merge(held)]
                     if len(held[0][0]) > 1_000_000:  # bounded memory: pass partial counts on
-                        yield _counts(held[0])
-                        held = []
-        if held:
-            yield _counts(merge(held))
+                        yield _counts(held.pop())
+        used = np.flatnonzero(n)
+        held.append((slots[used], n[used], c[used]))
+        yield _counts(merge(held))
 
     return run
 
