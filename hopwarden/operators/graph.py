@@ -268,11 +268,11 @@ def eigenvector_centrality(links: DataFrame, rounds: int = 20) -> DataFrame:
     rank = degrees(links).select("asn", F.lit(1.0).alias("x"))
     for i in range(rounds):
         given = near.join(rank, "asn").select(F.col("other").alias("asn"), "x").unionByName(rank)
-        summed = given.groupBy("asn").agg(F.sum("x").alias("x"))
-        norm = summed.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        rank = summed.join(F.broadcast(norm)).select("asn", (F.col("x") / F.col("norm")).alias("x"))
-        if i % 4 == 3:
+        rank = given.groupBy("asn").agg(F.sum("x").alias("x"))
+        if i % 2 == 1 or i == rounds - 1:  # its length is the same for every AS, so it need not be divided out each round
             rank = cut_lineage(rank)
+            norm = rank.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+            rank = rank.join(F.broadcast(norm)).select("asn", (F.col("x") / F.col("norm")).alias("x"))
     return rank.withColumnRenamed("x", "centrality")
 
 

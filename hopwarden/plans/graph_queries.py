@@ -212,9 +212,9 @@ def _features_sql() -> str:
       union select b.as1, b.as2, b.side, n.other, b.dist + 1 from bfs b join near n on b.node = n.asn
       where b.dist < 9 and not (n.asn in (b.as1, b.as2) and n.other in (b.as1, b.as2))),
     dist as (select as1, as2, node, min(dist) filter (side = 1) as b1, min(dist) filter (side = 2) as b2 from bfs group by all),
-    both as (select *, case when node = as1 then 0 when node = as2 then 1 else least(b1, b2 + 1) end as a1,
+    after_ as (select *, case when node = as1 then 0 when node = as2 then 1 else least(b1, b2 + 1) end as a1,
                        case when node = as2 then 0 when node = as1 then 1 else least(b2, b1 + 1) end as a2 from dist),
-    reach as (select as1, as2, max(b1) filter (node = as2) as apart, {sums} from both group by as1, as2),
+    reach as (select as1, as2, max(b1) filter (node = as2) as apart, {sums} from after_ group by as1, as2),
     near0 as (select c.as1, c.as2, n.asn, n.other from cand c join near n on n.asn in (c.as1, c.as2) where not (n.asn in (c.as1, c.as2) and n.other in (c.as1, c.as2))),
     loc as (select as1, as2,
         (select count(*) from near0 x where x.as1 = c.as1 and x.as2 = c.as2 and x.asn = c.as1)::double as d1,
