@@ -101,13 +101,14 @@ def cluster_ases(nodes: DataFrame, top: list[int] | None = None, seed: int = 1)
     """
     top = top or []
     small = nodes.filter(~F.col("asn").isin(top) & (F.col("cone") <= LARGE_CONE))
-    ready = VectorAssembler(inputCols=["degree", "cone"], outputCol="x").transform(small)
+    ready = VectorAssembler(inputCols=["degree", "cone"], outputCol="x").transform(small).persist()
     k = max(1, min(FIRST_K, small.count() // LEAST_MEMBERS))
     while True:
         model = KMeans(k=max(k, 2), seed=seed, featuresCol="x", predictionCol="label").fit(ready) if k > 1 else None
-        found = model.transform(ready).select("asn", "label") if model else small.select("asn", F.lit(0).alias("label"))
+        found = model.transform(ready).select("asn", "label") if model else ready.select("asn", F.lit(0).alias("label"))
         sizes = [r["count"] for r in found.groupBy("label").count().collect()]  # k rows
         if k == 1 or len(sizes) == k and min(sizes) >= LEAST_MEMBERS:
             break
         k -= 1
+    ready.unpersist()
     return found.unionByName(nodes.filter(F.col("asn").isin(top)).select("asn", F.lit(k).alias("label")))
