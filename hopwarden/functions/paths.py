@@ -21,8 +21,10 @@ def hops(as_path: Column) -> Column:
 
 
 def collapse(a: Column) -> Column:
-    """Drop elements equal to the one right before."""
-    return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    """Drop elements equal to the one right before; null for null. The array is named outside the lambda only."""
+    before = F.concat(F.slice(F.transform(a, lambda x: F.lit(None)), 1, 1), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
+    both = F.zip_with(a, before, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.filter(both, lambda p: p["y"].isNull() | (p["x"] != p["y"]))["x"]
 
 
 def is_reserved(asn: Column, inclusive: bool = True) -> Column:

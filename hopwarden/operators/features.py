@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hopwarden.functions.paths import WINDOW, collapse, fixed_window
 from hopwarden.operators.topology import day_counts, neighbours
+from hopwarden.session import cut_lineage
 
 #: Fixed value: the distance of ASes of which one has no attributes.
 NO_DISTANCE = -1.0
@@ -46,7 +47,7 @@ def attribute_vectors(graph: DataFrame, attributes: DataFrame) -> DataFrame:
     whose normalised value is the same for all ASes of the graph.
     """
     distinct = attributes.filter("asn is not null and attr is not null").select(F.col("asn").alias("other"), "attr").distinct()
-    counts = neighbours(graph).join(distinct, "other").groupBy("asn", "attr").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = cut_lineage(neighbours(graph).join(distinct, "other").groupBy("asn", "attr").agg(F.count(F.lit(1)).alias("cnt")))
     norms = counts.groupBy("asn").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).cast("double")).alias("norm"))
     n = graph.select(F.explode(F.array("as1", "as2")).alias("asn")).distinct().agg(F.count(F.lit(1)).alias("n"))
     shares = counts.join(norms, "asn").groupBy("attr").agg(
@@ -69,32 +70,32 @@ def cosine_distance(links: DataFrame, vectors: DataFrame, name: str) -> DataFram
     return full.select("as1", "as2", F.round(F.coalesce(value, F.lit(NO_DISTANCE)), 6).alias(name))
 
 
-def relative_metric(paths: DataFrame, id_column: str, path: str, metric: DataFrame, value: str) -> DataFrame:
-    """(id, <value>_diffs array<bigint>): for each step of a path the metric of the hop before less that of the hop.
+def relative_metrics(paths: DataFrame, id_column: str, path: str, metrics: dict[str, DataFrame]) -> DataFrame:
+    """(id, <metric> array<bigint> for each): for each step of a path the metric of the hop before less that of the hop.
 
-    An AS without the metric counts as 1. paths: one row per id; path: array<bigint> of collapsed hops. Paths of fewer
-    than two hops have no steps.
+    An AS without the metric counts as 1. paths: one row per id; path: array<bigint> of collapsed hops; metrics: frames
+    of (asn, <name>), one row per AS. Paths of fewer than two hops have no steps.
     """
-    hops = paths.select(id_column, F.posexplode(path).alias("pos", "asn"))
-    known = hops.join(metric.select("asn", F.col(value).alias("m")), "asn", "left").withColumn("m", F.coalesce("m", F.lit(1).cast("bigint")))
-    ordered = known.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("ms"))
-    values = F.col("ms.m")
-    n = F.size(values)
-    diffs = F.zip_with(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.slice(values, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)
-    empty = F.array().cast("array<bigint>")
-    return paths.select(id_column).join(ordered, id_column, "left").select(id_column, F.coalesce(diffs, empty).alias(f"{value}_diffs"))
+    known = paths.select(id_column, F.posexplode(path).alias("pos", "asn"))
+    for name, m in metrics.items():
+        known = known.join(m.select("asn", F.col(name)), "asn", "left").withColumn(name, F.coalesce(name, F.lit(1).cast("bigint")))
+    ordered = known.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("pos", *metrics))).alias("__ms"))
+    full, empty = paths.select(id_column).join(ordered, id_column, "left"), F.array().cast("array<bigint>")
+
+    def steps(name: str) -> Column:
+        values = F.col(f"__ms.{name}")
+        n = F.greatest(F.size(values) - 1, F.lit(0))
+        return F.coalesce(F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), lambda a, b: a - b), empty)
+
+    return full.select(id_column, *[steps(name).alias(name) for name in metrics])
 
 
 def pattern_features(paths: DataFrame, id_column: str, path: str, metrics: dict[str, DataFrame]) -> DataFrame:
     """(id, <metric>_1 ... <metric>_6 for each metric): the fixed windows of the relative metrics, interleaved."""
-    collapsed = paths.select(id_column, collapse(F.col(path)).alias("__p"))
-    found = [
-        relative_metric(collapsed, id_column, "__p", m, name).select(id_column, fixed_window(F.col(f"{name}_diffs")).alias(name))
-        for name, m in metrics.items()
-    ]
-    full = reduce(lambda a, b: a.join(b, id_column), found)
+    steps = relative_metrics(paths.select(id_column, collapse(F.col(path)).alias("__p")), id_column, "__p", metrics)
+    windows = steps.select(id_column, *[fixed_window(F.col(name)).alias(name) for name in metrics])
     columns: list[Column] = [F.col(name)[i].alias(f"{name}_{i + 1}") for i in range(WINDOW) for name in metrics]
-    return full.select(id_column, *columns)
+    return windows.select(id_column, *columns)
 
 
 def join_families(families: list[DataFrame], on: list[str], how: str = "inner") -> DataFrame:

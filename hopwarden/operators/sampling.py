@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hopwarden.operators.features import category_probability
 from hopwarden.operators.graph import on_a_cycle
+from hopwarden.session import cut_lineage
 
 #: Cones above this are left to themselves, as are the ASes the caller lists as the top of the hierarchy.
 LARGE_CONE, FIRST_K, LEAST_MEMBERS = 4400, 20, 10
@@ -37,14 +38,15 @@ def negative_sample(links: DataFrame, labels: DataFrame, carried: DataFrame, siz
     carried: (as1, as2, path) with at least one path per link to be drawn. A draw twice as large as wanted is searched
     for bridges; it is doubled while too few are left.
     """
-    named = categories(links, labels).join(carried.select("as1", "as2").distinct(), ["as1", "as2"], "left_semi")
+    links = cut_lineage(links)
+    named = cut_lineage(categories(links, labels).join(carried.select("as1", "as2").distinct(), ["as1", "as2"], "left_semi"))
     counts = named.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     weights = F.broadcast(category_probability(counts, k).select("c1", "c2", (F.col("p") / F.col("n")).alias("w")))  # one row per category pair
     weighted, have = named.join(weights, ["c1", "c2"]), named.count()
     take = 2 * size
     while True:
-        drawn = weighted_sample(weighted, F.col("w"), uniform(F.lit(seed), "as1", "as2"), take, ["as1", "as2"])
-        kept = drawn.join(on_a_cycle(drawn, links).filter("connected"), ["as1", "as2"], "left_semi")
+        drawn = cut_lineage(weighted_sample(weighted, F.col("w"), uniform(F.lit(seed), "as1", "as2"), take, ["as1", "as2"]))
+        kept = cut_lineage(drawn.join(on_a_cycle(drawn, links).filter("connected"), ["as1", "as2"], "left_semi"))
         if take >= have or kept.count() >= size:
             break
         take *= 2

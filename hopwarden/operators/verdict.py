@@ -66,7 +66,9 @@ def origin_validity(announced: DataFrame, roas: DataFrame, rfc6811: bool = False
     pairs = announced.filter("origin is not null and prefix is not null").select("origin", "prefix").distinct()
     known = roas.select(F.col("asn").alias("__asn"), "max_length", prefixes.parsed(F.col("prefix")).alias("k")).filter("k is not null")
     wide = pairs.withColumn("p", prefixes.parsed(F.col("prefix"))).filter("p is not null")
-    wide = wide.select("origin", "prefix", F.col("p.len").alias("__len"), F.explode(prefixes.ancestors(F.col("p"))).alias("k"))
+    # only lengths that authorisations have: at most 33 + 129 of them, whatever the number of rows
+    lengths = {(r.family, r.len) for r in known.select("k.family", "k.len").distinct().collect()}
+    wide = wide.select("origin", "prefix", F.col("p.len").alias("__len"), F.explode(prefixes.ancestors(F.col("p"), lengths)).alias("k"))
     key = lambda df: df.select("*", "k.*").drop("k")
     met = key(wide).join(key(known), ["family", "high", "low", "len"])
     own, exact = F.col("__asn") == F.col("origin"), F.col("len") == F.col("__len")
