@@ -292,3 +292,38 @@ def square_clustering(links: DataFrame) -> DataFrame:
     found = full.groupBy("asn").agg(F.sum(squares).alias("s"), F.sum(possible).alias("p"))
     value = F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0)
     return deg.select("asn").join(found, "asn", "left").select("asn", F.coalesce(value, F.lit(0.0)).alias("square_clustering"))
+
+
+def _maximal_cliques(near: dict[int, set[int]]) -> int:
+    """Number of maximal cliques of a graph: depth-first with pivots, on a stack of (candidates, excluded)."""
+    count, stack = 0, [(set(near), set())]
+    while stack:
+        candidates, excluded = stack.pop()
+        if not candidates:
+            count += not excluded
+            continue
+        pivot = max(candidates | excluded, key=lambda v: len(near[v] & candidates))
+        for v in list(candidates - near[pivot]):
+            stack.append((candidates & near[v], excluded & near[v]))
+            candidates = candidates - {v}
+            excluded = excluded | {v}
+    return count
+
+
+def number_of_cliques(links: DataFrame) -> DataFrame:
+    """(asn, number_of_cliques): maximal cliques that contain each AS.
+
+    They are the maximal cliques of the graph among its neighbours, so each AS is worked on by itself from its triangles
+    and its neighbours; an AS's part is as large as its triangles are many. Off by default, as the count can explode.
+    """
+    edges = common_neighbours(links, links).select(F.col("w").alias("asn"), F.col("as1").alias("a"), F.col("as2").alias("b"))
+    alone = neighbours(links).select("asn", F.col("other").alias("a"), F.lit(None).cast("bigint").alias("b"))
+
+    def count(ego: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {int(v): set() for v in ego.loc[ego["b"].isna(), "a"]}
+        for a, b in ego.loc[ego["b"].notna(), ["a", "b"]].astype("int64").itertuples(index=False):
+            near[a].add(b)
+            near[b].add(a)
+        return pd.DataFrame({"asn": [int(ego["asn"].iloc[0])], "number_of_cliques": [_maximal_cliques(near)]})
+
+    return edges.unionByName(alone).groupBy("asn").applyInPandas(count, "asn long, number_of_cliques long")

@@ -73,7 +73,7 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
     def accuracy(df: DataFrame) -> float:
         return model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
 
-    numbered = cut_lineage(rows.withColumn("__id", F.monotonically_increasing_id()))
+    numbered = cut_lineage(rows.fillna(1.0, features).withColumn("__id", F.monotonically_increasing_id()))
     base, buckets, out = accuracy(numbered), F.lit(max(8, rows.sparkSession.sparkContext.defaultParallelism)), {}
 
     def dealt(df: DataFrame, salt: str) -> DataFrame:
@@ -90,6 +90,6 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
 
 def evaluate(rows: DataFrame, features: list[str], seed: int = 1, trees: int = TREES) -> DataFrame:
     """Confusion matrix of a forest trained on 70 % of the rows and tried on the rest."""
-    known, new = rows.randomSplit([0.7, 0.3], seed)
+    known, new = rows.fillna(1.0, features).randomSplit([0.7, 0.3], seed)
     model = train(known, features, share=1.0, seed=seed, trees=trees)
     return confusion(model.transform(new).withColumn("predicted", F.col("prediction").cast("int")), [])

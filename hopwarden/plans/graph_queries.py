@@ -269,3 +269,8 @@ def ref_g14_eigenvector(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def ref_g16_square_clustering(spark: SparkSession, d: str) -> DataFrame:
     return graph.square_clustering(whole_graph(spark, d))
+
+
+@R.query()
+def ref_g15_cliques(spark: SparkSession, d: str) -> DataFrame:
+    return graph.number_of_cliques(whole_graph(spark, d))
