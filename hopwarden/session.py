@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,21 @@ def local_session(cores: int | str = 8, **settings: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Spark's Python workers, once per context.
+
+    Nothing is done where the workers' PYTHONPATH has it already. Else the driver's file server hands out a zip of it.
+    """
+    root = Path(__file__).resolve().parent.parent
+    given = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in given or getattr(context, "_hopwarden_shipped", False):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="hopwarden-"), "hopwarden_package"), "zip", root, "hopwarden")
+    context.addPyFile(made)
+    context._hopwarden_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
