@@ -11,8 +11,8 @@ from hopwarden.functions.paths import WINDOW, collapse, fixed_window
 from hopwarden.operators.topology import day_counts, neighbours
 from hopwarden.session import cut_lineage
 
-#: Fixed value: the distance of ASes of which one has no attributes.
-NO_DISTANCE = -1.0
+#: The distance of ASes of which one has no attributes; days in which both directions of a link must be seen.
+NO_DISTANCE, BIDI_DAYS = -1.0, 31
 
 
 def bidirectional(links: DataFrame, seen: DataFrame, ribs: DataFrame, least_days: int = 1) -> DataFrame:

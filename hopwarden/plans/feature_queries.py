@@ -105,7 +105,7 @@ def ref_a03_earliest(spark: SparkSession, d: str) -> DataFrame:
 def ref_b01_bidirectionality(spark: SparkSession, d: str) -> DataFrame:
     """Both directions seen, and neighbouring observers, of every link."""
     graph, day = whole_graph(spark, d), last_day(spark, d)
-    recent = table(spark, d, "updates_links").filter(F.col("obs_date") > F.date_sub(F.lit(day), 15))
+    recent = table(spark, d, "updates_links").filter(F.col("obs_date") > F.date_sub(F.lit(day), features.BIDI_DAYS))
     observers = table(spark, d, "new_link").select(F.col("peer_asn").alias("asn")).distinct()
     bidi = features.bidirectional(graph, recent, ribs(spark, d))
     return features.join_families([bidi, features.neighbouring_observers(graph, graph, observers)], ["as1", "as2"], "left")
