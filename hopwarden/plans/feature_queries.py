@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hopwarden.functions import paths
 from hopwarden.operators import features, newedge, topology
-from hopwarden.plans.graph_queries import SQL_BASE, SQL_DAYS, SQL_GRAPH, last_day, ribs, today_and_baseline, whole_graph
+from hopwarden.plans.graph_queries import SQL_BASE, SQL_DAYS, SQL_GRAPH, last_day, ribs, today_and_baseline, verdicts, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
 from hopwarden.session import table
@@ -15,12 +15,6 @@ from hopwarden.session import table
 R = Registry()
 
 
-def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "inference_summary").select(
-        F.least("asn1", "asn2").alias("as1"), F.greatest("asn1", "asn2").alias("as2"), F.to_date("observed_at").alias("day"), F.col("classification").alias("verdict")
-    )
-
-
 SQL_LEDGER = """
     v as (select least(asn1, asn2) as as1, greatest(asn1, asn2) as as2, cast(observed_at as date) as day, classification as verdict from inference_summary),
     l as (select as1, as2, max(day) filter (verdict = 'leg') as leg, max(day) filter (verdict = 'sus') as sus from v group by all),

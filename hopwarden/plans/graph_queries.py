@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwarden.operators import graph, topology
+from hopwarden.operators import graph, newedge, topology
 from hopwarden.plans.registry import Registry
 from hopwarden.session import table
 
 R = Registry()
 
-#: Days of history that links of the last day are compared with.
+#: Days of history in the SQL; the queries go back newedge.HISTORY_DAYS.
 WINDOW_DAYS = 14
 
 SQL_DAYS = "lim as (select max(obs_date) as d from updates_links)"
@@ -31,8 +31,20 @@ def last_day(spark: SparkSession, d: str):
 def today_and_baseline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     day = last_day(spark, d)
     updates = table(spark, d, "updates_links")
-    before = updates.filter(F.col("obs_date") < F.lit(day))
-    return updates.filter(F.col("obs_date") == F.lit(day)), topology.sliding_union(before, ribs(spark, d), F.lit(day), WINDOW_DAYS)
+    return updates.filter(F.col("obs_date") == F.lit(day)), topology.sliding_union(updates, ribs(spark, d), F.date_sub(F.lit(day), 1), newedge.HISTORY_DAYS)
+
+
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "inference_summary").select(
+        F.least("asn1", "asn2").alias("as1"), F.greatest("asn1", "asn2").alias("as2"), F.to_date("observed_at").alias("day"), F.col("classification").alias("verdict")
+    )
+
+
+def kept_out(spark: SparkSession, d: str) -> DataFrame:
+    """Links in quarantine on the last day, by the verdicts of the history before it."""
+    day = last_day(spark, d)
+    before = verdicts(spark, d).filter((F.col("day") >= F.date_sub(F.lit(day), newedge.HISTORY_DAYS)) & (F.col("day") < F.lit(day)))
+    return newedge.quarantined(newedge.ledger(before), day)
 
 
 SQL_BASE = f"""
@@ -46,6 +58,7 @@ SQL_BASE = f"""
 
 @R.query(SQL_BASE + " select as1, as2 from base")
 def ref_u01_sliding_union(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the history up to the day before the last."""
     return today_and_baseline(spark, d)[1]
 
 
@@ -62,8 +75,8 @@ def ref_u02_monthly_union(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(SQL_BASE + " select as1, as2, vp_ip from fresh")
 def ref_j01_new_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of the last day that the window before it did not have, with direction and observers."""
-    return topology.new_links(*today_and_baseline(spark, d))
+    """Links of the last day that the history before it, less the links in quarantine, did not have, with direction and observers."""
+    return topology.new_links(*today_and_baseline(spark, d), kept_out(spark, d))
 
 
 @R.query("select as1, as2, count(distinct obs_date) as n_days from updates_links where as1 <> as2 group by as1, as2")

@@ -24,3 +24,18 @@ def test_bidirectional_over_31_days(spark, tmp_path):
     d = write(spark, tmp_path, [(30, 1, 2, "v"), (0, 2, 1, "v"), (31, 3, 4, "v"), (0, 4, 3, "v"), (0, 5, 6, "v")])
     got = {(r.as1, r.as2): r.bidi for r in entry.queries()["ref_b01_bidirectionality"](spark, d).collect()}
     assert got == {(1, 2): 1, (3, 4): 0, (5, 6): 0}
+
+
+def test_baseline_goes_back_300_days(spark, tmp_path):
+    # yesterday's union has 301 days, so a link last seen 301 days ago is known and one of 302 days ago is not; monthly rows count
+    d = write(spark, tmp_path, [(15, 2, 1, "v"), (301, 3, 4, "v"), (302, 5, 6, "v"), (40, 7, 8, None), *[(0, a, a + 1, "v") for a in (1, 3, 5, 7, 9)]])
+    got = {tuple(r) for r in entry.queries()["ref_u01_sliding_union"](spark, d).collect()}
+    assert got == {(1, 2), (3, 4), (7, 8)}
+
+
+def test_new_links_with_quarantine(spark, tmp_path):
+    links = [(1, 2), (3, 4), (5, 6), (7, 8)]
+    # suspicious yesterday; suspicious 32 days ago; cleared since; judged on the day itself
+    verdicts = [(1, 2, 1, "sus"), (32, 3, 4, "sus"), (2, 5, 6, "sus"), (1, 5, 6, "leg"), (0, 7, 8, "sus")]
+    d = write(spark, tmp_path, [(n, a, b, "v") for n in (20, 0) for a, b in links], (), verdicts)
+    assert [tuple(r) for r in entry.queries()["ref_j01_new_links"](spark, d).collect()] == [(1, 2, "v")]
