@@ -17,8 +17,6 @@ from hopwarden.streaming import live
 R = Registry()
 
 SAMPLE = 1000
-#: The forests of the query run; the daily job uses learning.TREES and learning.WEIGHTS.
-QUERY_TREES, QUERY_WEIGHTS = 20, (1, 5, 10)
 
 SQL_LABELS = "lab as (select asn, cast(case when degree<10 then 0 when degree<50 then 1 when degree<100 then 2 when degree<500 then 3 else 4 end as int) as label from deg)"
 SQL_PATHS = f"p as (select id, array_to_string(path, ' ') as path, path as a from (select id, {_collapse_sql('hops')} as path from tt) where len(path) >= 3)"
@@ -104,13 +102,13 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 def ref_m05_inference(spark: SparkSession, d: str) -> DataFrame:
     """Forests of several cost weights, applied to all judged links."""
     rows = _training(spark, d)
-    models = learning.train_all(rows, FEATURES, QUERY_WEIGHTS, trees=QUERY_TREES)
+    models = learning.train_all(rows, FEATURES)
     return learning.infer(rows, models, FEATURES).select("id", "as1", "as2", "label", "proba", "sensitivity")
 
 
 @R.query()
 def ref_m07_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    return learning.evaluate(_training(spark, d), FEATURES, trees=QUERY_TREES)
+    return learning.evaluate(_training(spark, d), FEATURES)
 
 
 @R.query(

@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 
 import __spark_entry__ as entry
+from hopwarden.operators import learning
 
 LAST = date(2025, 3, 20)
 
@@ -39,3 +40,19 @@ def test_new_links_with_quarantine(spark, tmp_path):
     verdicts = [(1, 2, 1, "sus"), (32, 3, 4, "sus"), (2, 5, 6, "sus"), (1, 5, 6, "leg"), (0, 7, 8, "sus")]
     d = write(spark, tmp_path, [(n, a, b, "v") for n in (20, 0) for a, b in links], (), verdicts)
     assert [tuple(r) for r in entry.queries()["ref_j01_new_links"](spark, d).collect()] == [(1, 2, "v")]
+
+
+def test_models_of_all_weights_and_full_size(spark, monkeypatch):
+    made, train = [], learning.train
+
+    def seen(*args, **settings):
+        made.append(train(*args, **settings))
+        return made[-1]
+
+    monkeypatch.setattr(learning, "train", seen)
+    d, q = "/root/testdata/sf0.001", entry.queries()
+    n = spark.read.parquet(f"{d}/inference_summary.parquet").count()
+    got = q["ref_m05_inference"](spark, d).groupBy("sensitivity").count().collect()
+    assert {r.sensitivity: r["count"] for r in got} == {w: n for w in range(1, 11)}
+    q["ref_m07_evaluation"](spark, d).collect()
+    assert [m.stages[-1].getNumTrees for m in made] == [100] * 11
