@@ -56,3 +56,8 @@ def test_models_of_all_weights_and_full_size(spark, monkeypatch):
     assert {r.sensitivity: r["count"] for r in got} == {w: n for w in range(1, 11)}
     q["ref_m07_evaluation"](spark, d).collect()
     assert [m.stages[-1].getNumTrees for m in made] == [100] * 11
+
+
+def test_ten_observers_a_link(spark, tmp_path):
+    d = write(spark, tmp_path, [(0, 1, 2, f"v{i:02}") for i in range(12)])
+    assert sorted(r.vp_ip for r in entry.queries()["ref_n04_observers"](spark, d).collect()) == [f"v{i:02}" for i in range(10)]
