@@ -17,6 +17,8 @@ from hopwarden.session import cut_lineage
 #: Trees and depths of the link and path forests, share of rows a link forest sees, cost weights.
 TREES, DEPTH, PATH_DEPTH, ROWS = 100, 12, 15, 0.9
 WEIGHTS = tuple(range(1, 11))
+#: Feature families whose models are kept: all four, or all without paths.
+KEPT = (frozenset({"aspath", "bidirectionality", "peeringdb", "topological"}), frozenset({"bidirectionality", "peeringdb", "topological"}))
 
 
 def train(rows: DataFrame, features: list[str], weight: float = 1.0, *, trees: int = TREES, depth: int = DEPTH, subset: str = "log2", share: float = ROWS, seed: int = 1) -> PipelineModel:
@@ -36,6 +38,27 @@ def train_all(rows: DataFrame, features: list[str], weights: tuple[int, ...] = W
         kept.unpersist()
 
 
+def cached_models(rows: DataFrame, features: list[str], families: list[str], place: str, weights: tuple[int, ...] = WEIGHTS, *, override: bool = False, **settings: object) -> dict[int, PipelineModel]:
+    """The models of train_all, read from `place` (a day's shared folder) where they are there, else trained, and saved there for KEPT families."""
+    spark = rows.sparkSession
+    at = {w: f"{place}/{','.join(sorted(families))}_{w}" for w in weights}
+
+    def saved(where: str) -> bool:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{where}.done")  # written last, so half a model is none
+        return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+    there = {w for w in weights if not override and saved(at[w])}
+    made = train_all(rows, features, tuple(w for w in weights if w not in there), **settings) if len(there) < len(at) else {}
+    if frozenset(families) in KEPT:
+        for w, model in made.items():
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{at[w]}.done")
+            files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.delete(done, False)
+            model.write().overwrite().save(at[w])
+            files.create(done, True).close()
+    return {w: made[w] if w in made else PipelineModel.load(at[w]) for w in weights}
+
+
 def infer(rows: DataFrame, models: dict[int, PipelineModel], features: list[str]) -> DataFrame:
     """The rows with label, proba (of that label) and sensitivity, once per model. The models' features must all be there."""
     missing = set(features) - set(rows.columns)

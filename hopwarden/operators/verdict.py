@@ -81,6 +81,13 @@ def origin_validity(announced: DataFrame, roas: DataFrame, rfc6811: bool = False
     )
 
 
+def exact_validity(announced: DataFrame, roas: DataFrame) -> DataFrame:
+    """(origin, prefix, valid) of distinct announced pairs by the live rule: invalid only if exactly the prefix is authorised, but not for the origin."""
+    pairs = announced.filter("origin is not null and prefix is not null").select("origin", "prefix").distinct()
+    met = pairs.join(roas.filter("asn is not null").select("asn", "prefix").distinct(), "prefix", "left")
+    return met.groupBy("origin", "prefix").agg(F.coalesce(F.bool_or(F.col("asn") == F.col("origin")), F.lit(True)).alias("valid"))
+
+
 def link_validity(rows: DataFrame, validity: DataFrame) -> DataFrame:
     """(as1, as2, is_origin_rpki_valid): whether all announced pairs of the link are valid. rows: (as1, as2, origin, prefix)."""
     return rows.join(validity, ["origin", "prefix"]).groupBy(*LINK).agg(F.bool_and("valid").alias("is_origin_rpki_valid"))

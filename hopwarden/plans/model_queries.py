@@ -10,7 +10,7 @@ from hopwarden.operators import features, learning, sampling, topology
 from hopwarden.plans.graph_queries import SQL_GRAPH, ribs, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
-from hopwarden.session import table
+from hopwarden.session import cut_lineage, table
 from hopwarden.sources import registries
 from hopwarden.streaming import live
 
@@ -111,6 +111,22 @@ def ref_m07_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return learning.evaluate(_training(spark, d), FEATURES)
 
 
+@R.query()
+def ref_c04_path_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Path forests trained on the forged and existing samples, applied to the paths of all sightings."""
+    cones = table(spark, d, "as_cone")
+    newest = cones.join(F.broadcast(cones.agg(F.max("cone_month").alias("cone_month"))), "cone_month").select("asn", "cone")
+    metrics = {"degree": topology.degrees(whole_graph(spark, d)), "cone": newest}
+    sets = {m: [f"{m}_{i}" for i in range(1, 7)] for m in metrics}
+    sets["cone&degree"] = sets["cone"] + sets["degree"]
+    forged, real = (f(spark, d).select("as1", "as2", "path", F.lit(label).alias("label")) for f, label in ((ref_k04_positive_sample, 1), (ref_k03_negative_sample, 0)))
+    keyed = forged.unionByName(real).withColumn("id", F.concat_ws(" ", "label", "as1", "as2"))  # a link once per label
+    samples = cut_lineage(keyed.select("id", "label", F.split("path", " ").cast("array<bigint>").alias("hops")))
+    known = cut_lineage(features.pattern_features(samples, "id", "hops", metrics).join(samples.select("id", "label"), "id"))
+    rows = features.pattern_features(links_with_hops(spark, d), "id", "hops", metrics)
+    return learning.path_scores(known, rows, sets).select("id", *sets)
+
+
 @R.query(
     f"""with recursive t as ({SQL_TOKENS}),
     rows as (select least(asn1, asn2) as as1, greatest(asn1, asn2) as as2, asn1 < asn2 as fwd, cast(floor(epoch(observed_at)) as bigint) as ts, array_to_string(hops, ' ') as path, peer_ip as vp

@@ -122,6 +122,16 @@ def ref_t03_rfc6811(spark: SparkSession, d: str) -> DataFrame:
     return verdict.origin_validity(_origins(spark, d), table(spark, d, "roa"), rfc6811=True)
 
 
+@R.query(
+    f"""
+    with t as ({SQL_TOKENS}), pairs as (select distinct hops[len(hops)] as origin, prefix from t where len(hops) > 0 and prefix is not null)
+    select origin, p.prefix, coalesce(bool_or(r.asn = origin), true) as valid from pairs p left join roa r on r.prefix = p.prefix and r.asn is not null group by all"""
+)
+def ref_t09_live_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Origin validity of every announced pair by the live parser's rule."""
+    return verdict.exact_validity(_origins(spark, d), table(spark, d, "roa"))
+
+
 @R.query(
     f"with v as ({_validity_sql('case when e then eo else co end')}), t as ({SQL_TOKENS}) "
     "select least(asn1, asn2) as as1, greatest(asn1, asn2) as as2, bool_and(valid) as is_origin_rpki_valid from t join v on v.origin = hops[len(hops)] and v.prefix = t.prefix group by all"

@@ -3,7 +3,7 @@
 from datetime import date, timedelta
 
 import __spark_entry__ as entry
-from hopwarden.operators import learning
+from hopwarden.operators import learning, verdict
 
 LAST = date(2025, 3, 20)
 
@@ -61,3 +61,30 @@ def test_models_of_all_weights_and_full_size(spark, monkeypatch):
 def test_ten_observers_a_link(spark, tmp_path):
     d = write(spark, tmp_path, [(0, 1, 2, f"v{i:02}") for i in range(12)])
     assert sorted(r.vp_ip for r in entry.queries()["ref_n04_observers"](spark, d).collect()) == [f"v{i:02}" for i in range(10)]
+
+
+def test_live_origin_rule(spark):
+    roas = spark.createDataFrame([(1, "10.0.0.0/8"), (2, "10.0.0.0/8"), (3, "10.1.0.0/16")], "asn bigint, prefix string")
+    said = [(1, "10.0.0.0/8"), (3, "10.0.0.0/8"), (9, "10.1.0.0/24")]  # named, not named, only covered
+    got = verdict.exact_validity(spark.createDataFrame(said, "origin bigint, prefix string"), roas).collect()
+    assert {(r.origin, r.prefix): r.valid for r in got} == dict(zip(said, (True, False, True)))
+
+
+def test_model_cache(spark, tmp_path, monkeypatch):
+    rows, names = spark.createDataFrame([(float(i), i % 2) for i in range(60)], "f double, label int"), ["peeringdb", "topological", "bidirectionality"]
+    get = lambda families, **more: learning.cached_models(rows, ["f"], families, str(tmp_path), (1, 2), trees=2, depth=2, **more)
+    first, made, train = get(names), [], learning.train
+    monkeypatch.setattr(learning, "train", lambda *a, **s: made.append(1) or train(*a, **s))
+    assert [m.stages[-1].toDebugString.split("\n")[1:] for m in get(names).values()] == [m.stages[-1].toDebugString.split("\n")[1:] for m in first.values()] and not made
+    get(names, override=True)
+    get(names[:1])
+    get(names[:1])
+    assert len(made) == 6
+
+
+def test_path_scores_of_all_sightings(spark):
+    d = "/root/testdata/sf0.001"
+    got = entry.queries()["ref_c04_path_scores"](spark, d)
+    found = got.collect()
+    assert got.columns == ["id", "degree", "cone", "cone&degree"] and len(found) == spark.read.parquet(f"{d}/new_link.parquet").count()
+    assert all(0 <= x <= 1 for r in found for x in r[1:]) and len({r[1:] for r in found}) > 1
