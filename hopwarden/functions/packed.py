@@ -1,7 +1,8 @@
 """Several values packed into one string field.
 
-The field is split on quote characters: pieces at odd places were quoted, pieces at even places are
-split on delimiters. A group in braces is folded into a single token first, so it keeps one ordinal.
+The field is split on quote characters: pieces at odd places were quoted and are literals, pieces at even places are
+split on delimiters. The pieces are put together again with one separator between values, so literals keep their
+delimiters. A group in braces keeps one ordinal.
 All of it is array expressions inside the JVM; the cost is linear in the length of the field.
 """
 
@@ -18,9 +19,9 @@ class Packing:
     """How a field packs its values.
 
     delimiters, quotes: regular expressions of one character class each.
-    open/close: characters around an unordered group that has a single position, or None.
-    quoted_lists: a quoted piece may hold a whole list (as path exporters write it); it is then split too,
-        otherwise a quoted piece is one literal value.
+    open/close: characters around an unordered group that has a single position, or None; they count inside quotes too.
+    quoted_lists: a field that is one quoted piece as a whole is a list in quotes (as exporters of tables write it): it
+        is split; all other quoted pieces are one literal value each.
     strip: regular expression removed wherever it stands before a value (a unit or type prefix).
     """
 
@@ -32,28 +33,48 @@ class Packing:
     strip: str | None = None
 
 
-#: AS paths: anything but letters, digits and braces separates; "AS"/"ASN" may stand before a number.
+#: AS paths: anything but letters, digits, quotes and braces separates; "AS"/"ASN" may stand before a number.
 AS_PATH = Packing(
-    delimiters=r"[^0-9A-Za-z]", open="{", close="}", quoted_lists=True, strip=r"(?i)asn?[\s\p{Z}]*(?=[0-9])"
+    delimiters=r"[^0-9A-Za-z\"'{}]", open="{", close="}", quoted_lists=True, strip=r"(?i)asn?[\s\p{Z}]*(?=[0-9])"
 )
 
-_GROUP_MARK = "{"
-_GROUP_SEPARATOR = ","
-_NBSP_CLASS = r"[\s\p{Z}]+"
+_SEPARATOR = "\x01"
 
 
-def _words(text: Column, how: Packing) -> Column:
-    """Non-empty values of one text without groups, in order."""
+def _reassembled(text: Column, how: Packing) -> Column:
+    """The field without quotes, its values separated by _SEPARATOR.
+
+    Split on quotes, the odd pieces are literals; a last piece whose quote is never closed is no literal.
+    """
+    pieces = F.split(text, how.quotes)
+    n = F.size(pieces)
+    literal = lambda i: (i % 2 == 1) & (i < n - 1)
     if how.quoted_lists:
-        nested = F.transform(F.split(text, how.quotes), lambda piece: F.split(piece, how.delimiters))
-    else:
-        nested = F.transform(
-            F.split(text, how.quotes),
-            lambda piece, i: F.when(i % 2 == 1, F.array(piece)).otherwise(F.split(piece, how.delimiters)),
+        blank = lambda i: F.regexp_replace(F.get(pieces, F.lit(i)), how.delimiters, "") == ""
+        envelope = (n == 3) & blank(0) & blank(2)
+        return F.array_join(
+            F.transform(pieces, lambda p, i: F.when(literal(i) & ~envelope, p).otherwise(F.regexp_replace(p, how.delimiters, _SEPARATOR))), _SEPARATOR
         )
-    plain = F.split(text, how.delimiters)
-    split = F.when(text.rlike(how.quotes), F.flatten(nested)).otherwise(plain)
-    return F.filter(split, lambda w: w != "")
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(literal(i), p).otherwise(F.regexp_replace(p, how.delimiters, _SEPARATOR))), _SEPARATOR)
+
+
+def _positions(text: Column, delimiters: str, in_groups: str, how: Packing) -> Column:
+    def words(piece: Column, regex: str) -> Column:
+        return F.filter(F.split(piece, regex), lambda w: w != "")
+
+    def single(piece: Column) -> Column:
+        return F.transform(words(piece, delimiters), lambda w: F.struct(F.lit(False).alias("grouped"), F.array(w).alias("members")))
+
+    if how.open is None:
+        return single(text)
+
+    def group(piece: Column) -> Column:
+        one = F.array(F.struct(F.lit(True).alias("grouped"), words(piece, in_groups).alias("members")))
+        return F.filter(one, lambda g: F.size(g["members"]) > 0)
+
+    pieces = F.split(text, "[" + "".join("\\" + c for c in (how.open, how.close)) + "]")
+    folded = F.flatten(F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, group(piece)).otherwise(single(piece))))
+    return F.when(text.contains(how.open), folded).otherwise(single(text))
 
 
 def packed_values(column: Column, how: Packing = Packing()) -> Column:
@@ -65,28 +86,10 @@ def packed_values(column: Column, how: Packing = Packing()) -> Column:
     text = F.coalesce(column, F.lit(""))
     if how.strip:
         text = F.regexp_replace(text, how.strip, "")
-    single = F.transform(_words(text, how), lambda w: F.struct(F.lit(False).alias("grouped"), F.array(w).alias("members")))
-    if how.open is None:
-        return single
-    pieces = F.split(text, "[" + "".join("\\" + c for c in (how.open, how.close)) + "]")
-    folded = F.flatten(
-        F.transform(
-            pieces,
-            lambda piece, i: F.when(
-                i % 2 == 1,
-                F.filter(
-                    F.array(F.struct(F.lit(True).alias("grouped"), _words(piece, how).alias("members"))),
-                    lambda g: F.size(g["members"]) > 0,
-                ),
-            ).otherwise(
-                F.transform(
-                    _words(piece, how),
-                    lambda w: F.struct(F.lit(False).alias("grouped"), F.array(w).alias("members")),
-                )
-            ),
-        )
-    )
-    return F.when(text.contains(how.open), folded).otherwise(single)
+    plain = _positions(text, how.delimiters, how.delimiters, how)
+    in_groups = f"(?:{how.delimiters}|{_SEPARATOR})"
+    quoted = _positions(_reassembled(text, how), _SEPARATOR, in_groups, how)
+    return F.when(text.rlike(how.quotes), quoted).otherwise(plain)
 
 
 def path_positions(as_path: Column) -> Column:

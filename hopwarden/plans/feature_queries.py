@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hopwarden.functions import paths
 from hopwarden.operators import features, newedge, topology
-from hopwarden.plans.graph_queries import SQL_BASE, SQL_DAYS, SQL_GRAPH, last_day, ribs, today_and_baseline, verdicts, whole_graph
+from hopwarden.plans import graph_queries
+from hopwarden.plans.graph_queries import SQL_DAYS, SQL_GRAPH, SQL_VERDICTS, last_day, ribs, today_and_baseline, verdicts, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
 from hopwarden.session import table
@@ -15,11 +16,7 @@ from hopwarden.session import table
 R = Registry()
 
 
-SQL_LEDGER = """
-    v as (select least(asn1, asn2) as as1, greatest(asn1, asn2) as as2, cast(observed_at as date) as day, classification as verdict from inference_summary),
-    l as (select as1, as2, max(day) filter (verdict = 'leg') as leg, max(day) filter (verdict = 'sus') as sus from v group by all),
-    ledger as (select l.as1, l.as2, min(v.day) as since from l join v using (as1, as2)
-      where sus is not null and (leg is null or sus >= leg) and v.verdict = 'sus' and (leg is null or v.day >= leg) group by all)"""
+SQL_LEDGER = f"v as ({SQL_VERDICTS}), {graph_queries.SQL_LEDGER}"
 
 
 @R.query(f"with {SQL_LEDGER}, q as (select max(day) as d from v) select as1, as2, since, date_diff('day', since, d) <= 31 as quarantined from ledger, q")
@@ -52,7 +49,7 @@ SQL_OBSERVERS = """
     stop as (select coalesce(max(r), 0) as stop from placed where place = need)"""
 
 
-@R.query("with " + SQL_OBSERVERS.format(m=2) + " select vp_ip from s1 union all select vp_ip from ranks, stop where r <= stop")
+@R.query("with " + SQL_OBSERVERS.format(m=newedge.OBSERVERS) + " select vp_ip from s1 union all select vp_ip from ranks, stop where r <= stop")
 def ref_n04_observers(spark: SparkSession, d: str) -> DataFrame:
     """Observers that cover every link as often as wanted."""
     return newedge.choose_observers(table(spark, d, "updates_links").filter("as1 <> as2"))
@@ -89,7 +86,7 @@ def ref_a03_earliest(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     f"""
     with {SQL_DAYS}, {SQL_GRAPH},
-    seen as (select as1, as2, count(distinct obs_date) as n from updates_links, lim where obs_date > d - 15 and as1 <> as2 group by all),
+    seen as (select as1, as2, count(distinct obs_date) as n from updates_links, lim where obs_date > d - {features.BIDI_DAYS} and as1 <> as2 group by all),
     rib as (select distinct as1, as2 from updates_links where vp_ip is null and as1 <> as2)
     select g.as1, g.as2, cast(case when (exists (select 1 from seen s where s.as1 = g.as1 and s.as2 = g.as2) and exists (select 1 from seen s where s.as1 = g.as2 and s.as2 = g.as1))
       or (exists (select 1 from rib s where s.as1 = g.as1 and s.as2 = g.as2) and exists (select 1 from rib s where s.as1 = g.as2 and s.as2 = g.as1)) then 1 else 0 end as int) as bidi,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwarden.functions.packed import explode_path
-from hopwarden.operators.eager import eager_join_aggregate, hot_keys
+from hopwarden.functions.packed import Packing, explode_packed, explode_path
+from hopwarden.operators.eager import WIDE, eager_join_aggregate, hot_keys, stack_fields
 from hopwarden.operators.snapshots import snapshot_changes
 from hopwarden.plans.registry import Registry
 from hopwarden.session import table
@@ -15,6 +15,12 @@ R = Registry()
 
 HOT_SHARE = 0.02
 
+
+def _whole(*names: str) -> list[Column]:
+    """Decimals as the bigints of the tables; what does not fit is an error, never a wrong number."""
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
 #: DuckDB: the positions of a path as texts, a set in braces being one of them.
 SQL_POSITIONS = r"regexp_extract_all(coalesce(as_path, ''), '\{[^}]*\}?|[0-9]+')"
 
@@ -47,7 +53,7 @@ def p3_pairs_updates(spark: SparkSession, d: str) -> DataFrame:
         left_sums={"sum_peer": F.col("peer_asn")},
         right_sums={"sum_far": F.col("as2")},
     )
-    return out.select("asn", "is_recurrent", "n_pairs", "n_left", "sum_peer", "sum_far")
+    return out.select("asn", "is_recurrent", *_whole("n_pairs"), "n_left", *_whole("sum_peer", "sum_far"))
 
 
 @R.query(
@@ -64,7 +70,36 @@ def p3_pairs_exchanges(spark: SparkSession, d: str) -> DataFrame:
         right_sums={"sum_speed": F.col("speed")},
         how="left",
     )
-    return out.select("asn", "n_pairs", (F.col("n_left") * F.col("n_right")).alias("n_matched"), "sum_speed")
+    matched = F.col("n_left").cast(WIDE) * F.col("n_right").cast(WIDE)
+    return out.select("asn", *_whole("n_pairs"), matched.cast("bigint").alias("n_matched"), *_whole("sum_speed"))
+
+
+NEAR_FIELDS = ["asn1", "asn2", "peer_asn"]
+
+
+@R.query(
+    " union all ".join(
+        f"""select '{f}' as field_name, n.asn, n.n_rows, n.n_recurrent, n.n_rows * coalesce(u.n, 0) as n_pairs, cast(n.n_rows * u.far as bigint) as sum_far
+        from (select {f} as asn, count(*) as n_rows, cast(sum(is_recurrent::int) as bigint) as n_recurrent from new_link where {f} is not null group by {f}) n
+        left join (select as1, count(*) as n, sum(as2) as far from updates_links group by as1) u on n.asn = u.as1"""
+        for f in NEAR_FIELDS
+    )
+)
+def p3_per_asn(spark: SparkSession, d: str) -> DataFrame:
+    """Per ASN of asn1, of asn2 and of peer_asn: rows, recurrent rows, and pairs with the daily links of that AS and their far ends' sum."""
+    rows = stack_fields(table(spark, d, "new_link"), NEAR_FIELDS, "field_name", "asn", keep={"r": F.col("is_recurrent").cast("int")})
+    out = eager_join_aggregate(
+        rows.filter("asn is not null"),
+        table(spark, d, "updates_links"),
+        {"asn": (F.col("asn"), F.col("as1"))},
+        left_by={"field_name": F.col("field_name")},
+        left_sums={"n_recurrent": F.col("r")},
+        right_sums={"sum_far": F.col("as2")},
+        how="left",
+    )
+    recurrent = F.expr("cast(n_recurrent div greatest(n_right, 1) as bigint)").alias("n_recurrent")  # the sum over pairs counts a row once per match
+    pairs = (F.col("n_left").cast(WIDE) * F.col("n_right").cast(WIDE)).cast("bigint").alias("n_pairs")
+    return out.select("field_name", "asn", F.col("n_left").alias("n_rows"), recurrent, pairs, *_whole("sum_far"))
 
 
 def _changes_sql(src: str, asn: str, place: str, attributes: str) -> str:
@@ -118,3 +153,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 )
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return explode_path(table(spark, d, "new_link"), "as_path", ("id",))
+
+
+_PLACE = ("fac_name", "city", "country")
+
+
+@R.query(
+    """
+    select distinct local_asn, fac_id, cast(row_number() over (partition by k order by i) as int) as pos, value from (
+      select local_asn, fac_id, snapshot_day, updated_at, unnest([1, 2, 3]) as i, unnest([trim(replace(fac_name, '"', '')), trim(replace(city, '"', '')), country]) as value,
+        local_asn || ' ' || fac_id || ' ' || rowid as k from (select *, row_number() over () as rowid from netfac) where local_asn is not null and fac_id is not null)
+    where value is not null and value <> ''"""
+)
+def p6_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Names and cities as quoted literals that hold delimiters, the country bare, packed into one field and split again."""
+    quoted = [F.concat(F.lit('"'), F.trim(F.replace(F.col(c), F.lit('"'), F.lit(""))), F.lit('"')) for c in _PLACE[:2]]
+    rows = table(spark, d, "netfac").filter("local_asn is not null and fac_id is not null")
+    packed = rows.select("local_asn", "fac_id", F.concat_ws(" ;", *quoted, F.col("country")).alias("packed"))
+    return explode_packed(packed, "packed", ["local_asn", "fac_id"], Packing(quotes='["]')).distinct()

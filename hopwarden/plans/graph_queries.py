@@ -11,9 +11,6 @@ from hopwarden.session import table
 
 R = Registry()
 
-#: Days of history in the SQL; the queries go back newedge.HISTORY_DAYS.
-WINDOW_DAYS = 14
-
 SQL_DAYS = "lim as (select max(obs_date) as d from updates_links)"
 SQL_RIBS = "ribs as (select cast(date_trunc('month', obs_date) as date) as month, as1, as2 from updates_links where vp_ip is null)"
 
@@ -50,8 +47,8 @@ def kept_out(spark: SparkSession, d: str) -> DataFrame:
 SQL_BASE = f"""
     with {SQL_DAYS}, {SQL_RIBS},
     base as (select distinct least(as1, as2) as as1, greatest(as1, as2) as as2 from (
-      select as1, as2 from updates_links, lim where obs_date >= d - {WINDOW_DAYS} and obs_date < d
-      union all select as1, as2 from ribs, lim where month between d - {WINDOW_DAYS} and d) where as1 <> as2),
+      select as1, as2 from updates_links, lim where obs_date between d - 1 - {newedge.HISTORY_DAYS} and d - 1
+      union all select as1, as2 from ribs, lim where month between d - 1 - {newedge.HISTORY_DAYS} and d - 1) where as1 <> as2),
     today as (select distinct as1, as2, vp_ip from updates_links, lim where obs_date = d and as1 <> as2),
     fresh as (select t.* from today t anti join base b on least(t.as1, t.as2) = b.as1 and greatest(t.as1, t.as2) = b.as2)"""
 
@@ -73,7 +70,20 @@ def ref_u02_monthly_union(spark: SparkSession, d: str) -> DataFrame:
     return topology.monthly_union(table(spark, d, "updates_links"), ribs(spark, d), last_day(spark, d))
 
 
-@R.query(SQL_BASE + " select as1, as2, vp_ip from fresh")
+SQL_LEDGER = """
+    l as (select as1, as2, max(day) filter (verdict = 'leg') as leg, max(day) filter (verdict = 'sus') as sus from v group by all),
+    ledger as (select l.as1, l.as2, min(v.day) as since from l join v using (as1, as2)
+      where sus is not null and (leg is null or sus >= leg) and v.verdict = 'sus' and (leg is null or v.day >= leg) group by all)"""
+SQL_VERDICTS = "select least(asn1, asn2) as as1, greatest(asn1, asn2) as as2, cast(observed_at as date) as day, classification as verdict from inference_summary"
+SQL_KEPT_OUT = f"""
+    v as (select x.* from ({SQL_VERDICTS}) x, lim where day >= d - {newedge.HISTORY_DAYS} and day < d), {SQL_LEDGER},
+    kept_out as (select as1, as2 from ledger, lim where date_diff('day', since, d) <= {newedge.QUARANTINE_DAYS})"""
+#: New links of the last day, those in quarantine being no part of the known ones.
+SQL_FRESH = f"""{SQL_BASE}, {SQL_KEPT_OUT}, known as (select * from base anti join kept_out using (as1, as2)),
+    news as (select t.* from today t anti join known b on least(t.as1, t.as2) = b.as1 and greatest(t.as1, t.as2) = b.as2)"""
+
+
+@R.query(SQL_FRESH + " select as1, as2, vp_ip from news")
 def ref_j01_new_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of the last day that the history before it, less the links in quarantine, did not have, with direction and observers."""
     return topology.new_links(*today_and_baseline(spark, d), kept_out(spark, d))

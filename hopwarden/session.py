@@ -18,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -51,15 +52,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    Where that setting is absent, a temporary folder is used on a local master (one process); any other is an error,
+    as its executors may not share a folder of this machine.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hopwarden-"))
+        context.setCheckpointDir(checkpoint_folder(context.master, spark.conf.get("spark.checkpoint.dir", None)))
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(master: str, named: str | None) -> str:
+    if named:
+        return named
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="hopwarden-")
+
+
 def null_safe(*columns: Column) -> list[Column]:
     """Columns to hash: Spark's hashes skip nulls, so each value is preceded by its null flag."""
     return [part for c in columns for part in (c.isNull(), c)]

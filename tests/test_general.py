@@ -2,12 +2,15 @@
 
 from datetime import date, datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hopwarden.functions.packed import AS_PATH, Packing, canonical_path, explode_packed, explode_path
 from hopwarden.operators.eager import eager_join_aggregate, hot_keys
 from hopwarden.operators.skew import lookup
 from hopwarden.operators.snapshots import snapshot_changes
+from hopwarden.session import checkpoint_folder
 
 
 def rows(df):
@@ -36,6 +39,14 @@ def test_canonical_path(spark):
     assert [r[0] for r in df.select(canonical_path(F.col("p"))).collect()] == ["1 {2,3}", "1 {2,3}", "1 {2}", "1 2", ""]
 
 
+def test_quotes_decide(spark):
+    texts = {1: '"1 2 3"', 2: "'1', '2','3'", 3: '"1 2 3', 4: "1 2 3'", 5: "'1' '{2,3}' 4", 6: "{'2';'3'}|'4'", 7: "1 '2 3' 4"}
+    df = spark.createDataFrame(list(texts.items()), "id int, p string")
+    got = {r.id: r.v for r in df.select("id", canonical_path(F.col("p")).alias("v")).collect()}
+    # in the last one the quoted piece is one literal value, which is no number
+    assert got == {1: "1 2 3", 2: "1 2 3", 3: "1 2 3", 4: "1 2 3", 5: "1 {2,3} 4", 6: "{2,3} 4", 7: "1 4"}
+
+
 def test_long_path(spark):
     text = " ".join(str(i) for i in range(1, 20_001))
     df = spark.createDataFrame([(1, text)], "id int, as_path string")
@@ -60,6 +71,42 @@ def test_eager_join(spark):
     assert eager_join_aggregate(left.limit(0), right, keys).count() == 0
 
 
+def test_products_beyond_a_bigint(spark):
+    big = spark.createDataFrame([(1, 2**62)] * 3, "k int, v bigint")
+    keys = {"k": (F.col("k"), F.col("k"))}
+    got = eager_join_aggregate(big, big, keys, left_sums={"l": F.col("v")}, right_sums={"r": F.col("v")}).first()
+    assert (got.n_pairs, int(got.l), int(got.r)) == (9, 9 * 2**62, 9 * 2**62)
+
+
+def test_checkpoints_need_a_shared_folder():
+    assert checkpoint_folder("yarn", "hdfs:///c") == "hdfs:///c" and "hopwarden-" in checkpoint_folder("local[4]", None)
+    for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_folder(master, None)
+
+
+def test_only_the_subpackage_is_optional(monkeypatch):
+    import builtins
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+
+    def missing(gone):
+        def load(name, *rest):
+            if name == "hopwarden.llm.queries":
+                raise ModuleNotFoundError(name=gone)
+            return real(name, *rest)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", missing("hopwarden.llm"))
+    assert "p3_found" in e.queries() and "p1_distinct" not in e.queries()
+    monkeypatch.setattr(builtins, "__import__", missing("numpy"))
+    with pytest.raises(ModuleNotFoundError):
+        e.queries()
+
+
 def test_hot_keys(spark):
     data = [(1, 9)] * 50 + [(2, 9)] * 2 + [(None, 9)] * 48
     df = spark.createDataFrame(data, "asn1 bigint, peer_asn bigint").withColumn("field_name", F.lit("clash"))
