@@ -1,15 +1,20 @@
 """What changed between consecutive full snapshots, in a single aggregation shuffle.
 
 Every row plays the new side of its own snapshot and the old side of the next one. Grouped by (snapshot, key),
-each side keeps its latest record as (order column, row hash); the two hashes classify the key.
+each side keeps its latest record as (order column, 64-bit row hash); the two hashes classify the key. The pair is packed
+into one decimal, so that the states are of fixed width and the aggregation hashes instead of sorting. Two different rows
+of a key have the same hash once in 2^64 comparisons.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hopwarden.session import wide_hash
+from hopwarden.session import null_safe
 
 #: The chain of snapshots (one row per delivery) is broadcast up to this many; beyond it, it is joined by shuffle.
 MAX_BROADCAST_SNAPSHOTS = 100_000
@@ -29,6 +34,20 @@ def snapshot_chain(df: DataFrame, snapshot: str) -> DataFrame:
     return sides.select("__day", roles.alias("__roles"))
 
 
+def _rank(order: Column, kind: T.DataType, h: Column) -> Column:
+    """The order value and a 64-bit hash as one decimal of 38 digits, comparing as the pair does; a null order comes first."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        number = F.unix_micros(order.cast("timestamp"))  # within 18 digits for the years 1 to 9999
+    elif isinstance(kind, T.DateType):
+        number = F.unix_date(order).cast("bigint")
+    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        number = order.cast("bigint")
+    else:
+        raise TypeError(f"snapshots are ordered by times, dates or ints, not by {kind.simpleString()}")
+    unsigned = h.cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    return F.coalesce(number, F.lit(1 - 10**18)).cast("decimal(18,0)") * F.lit(Decimal(10**20)) + unsigned.cast("decimal(20,0)")
+
+
 def snapshot_changes(df: DataFrame, snapshot: str, keys: dict[str, str], attributes: list[str], order: str) -> DataFrame:
     """One row per changed key and pair of consecutive snapshots.
 
@@ -43,21 +62,22 @@ def snapshot_changes(df: DataFrame, snapshot: str, keys: dict[str, str], attribu
     chain = snapshot_chain(df, snapshot)
     if chain.count() <= MAX_BROADCAST_SNAPSHOTS:
         chain = F.broadcast(chain)
-    h1, h2 = wide_hash(*[F.col(f"`{a}`") for a in attributes])
+    h = F.xxhash64(*null_safe(*[F.col(f"`{a}`") for a in attributes]))
     rows = df.select(
         F.col(f"`{snapshot}`").alias("__day"),
         *[F.col(f"`{c}`").alias(f"__k_{k}") for k, c in keys.items()],
-        F.struct(F.col(f"`{order}`").alias("at"), h1.alias("h1"), h2.alias("h2")).alias("__rec"),
+        _rank(F.col(f"`{order}`"), df.schema[order].dataType, h).cast("decimal(38,0)").alias("__rank"),
     ).dropna(subset=["__day", *[f"__k_{k}" for k in keys]])
     sided = rows.join(chain, "__day").withColumn("__role", F.explode("__roles"))
     pairs = sided.groupBy(F.col("__role.pair").alias("snapshot_day"), *[f"__k_{k}" for k in keys]).agg(
-        F.max(F.when(~F.col("__role.is_new"), F.col("__rec"))).alias("__old"),
-        F.max(F.when(F.col("__role.is_new"), F.col("__rec"))).alias("__new"),
+        F.max(F.when(~F.col("__role.is_new"), F.col("__rank"))).alias("__old"),
+        F.max(F.when(F.col("__role.is_new"), F.col("__rank"))).alias("__new"),
     )
+    row_hash = lambda rank: F.pmod(F.col(rank), F.lit(Decimal(10**20)))
     kind = (
         F.when(F.col("__old").isNull(), "added")
         .when(F.col("__new").isNull(), "removed")
-        .when((F.col("__old.h1") != F.col("__new.h1")) | (F.col("__old.h2") != F.col("__new.h2")), "changed")
+        .when(row_hash("__old") != row_hash("__new"), "changed")
     )
     return (
         pairs.withColumn("change_kind", kind)
