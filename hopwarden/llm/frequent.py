@@ -8,12 +8,15 @@
 4. Partitions hold disjoint values, so their heaps merge by union.
 
 Estimates are never below the true count and above it by at most e/width of the partition's weight, except with
-probability e^-depth. A value with share s of its field is among the candidates if keep > 1 / (s - e/width).
+probability e^-depth. Width and heap follow from what is asked: for a share s the width keeps that error below s/4, and
+fewer than 1 / (s - s/4) values can seem to reach s; for the top k the heap holds more than k values of each partition. A heap
+that an estimate leaves comes back with the value's next sighting, as its estimate grows on in the sketch.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FLUSH_AT = 200_000
+#: Counters of each value: the error holds but for a probability of e^-DEPTH.
+DEPTH = 4
 _PARTIAL = "field_name string, item string, n bigint"
 _HEAP = "field_name string, item string, n bigint, weight bigint"
 
@@ -111,7 +116,14 @@ def _sketcher(width: int, depth: int, keep: int):
     return run
 
 
-def heavy_candidates(df: DataFrame, fields: list[str], keep: int = 1024, width: int = 1 << 16, depth: int = 4) -> DataFrame:
+def width_for(error: float) -> int:
+    """Least power of two of counters whose estimates are above the truth by at most `error` of the rows (but for e^-depth)."""
+    if not 0 < error <= 1:
+        raise ValueError("the error must be in (0, 1]")
+    return 1 << max(4, math.ceil(math.log2(math.e / error)))
+
+
+def heavy_candidates(df: DataFrame, fields: list[str], keep: int, width: int, depth: int = DEPTH) -> DataFrame:
     """(field_name, item, n, total): up to `keep` candidates per partition and field with estimated counts, values as text.
 
     total: all rows of the field, nulls included; null is no value. Empty strings are values. Empty input: no rows.
@@ -124,20 +136,33 @@ def heavy_candidates(df: DataFrame, fields: list[str], keep: int = 1024, width:
     return heaps.withColumn("total", F.sum("weight").over(whole)).filter("item is not null").drop("weight")
 
 
-def top_items(df: DataFrame, fields: list[str], k: int, **sketch: int) -> DataFrame:
-    """(field_name, rank, item, n): the k most frequent values of each field by estimated count, ties by value."""
+def top_items(df: DataFrame, fields: list[str], k: int, error: float = 5e-5, keep: int | None = None) -> DataFrame:
+    """(field_name, rank, item, n, most_over): the k most frequent values of each field by estimated count, ties by value.
+
+    n is never too low, and too high by at most most_over (`error` of the field's rows) but for a probability of e^-DEPTH.
+    """
+    keep = 2 * k if keep is None else keep
+    if keep < k:
+        raise ValueError(f"a heap of {keep} cannot hold the top {k}")
     w = Window.partitionBy("field_name").orderBy(F.desc("n"), "item")
-    ranked = heavy_candidates(df, fields, **sketch).withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= k).select("field_name", "rank", "item", "n")
+    ranked = heavy_candidates(df, fields, keep, width_for(error)).withColumn("rank", F.row_number().over(w))
+    over = F.ceil(F.col("total") * F.lit(error)).cast("bigint").alias("most_over")
+    return ranked.filter(F.col("rank") <= k).select("field_name", "rank", "item", "n", over)
 
 
-def frequent_items(df: DataFrame, fields: list[str], share: float, **sketch: int) -> DataFrame:
+def frequent_items(df: DataFrame, fields: list[str], share: float, keep: int | None = None, width: int | None = None) -> DataFrame:
     """(field_name, item, n, total): values on at least `share` of all rows, with exact counts.
 
     The sketch names the candidates (estimates are never too low, so none is missing); a second pass counts only those.
-    They are fewer than 1 / (share - e/width) per field, which bounds what is broadcast.
+    They are fewer than 1 / (share - e/width) per field, which bounds what is broadcast. A width or heap too small for the
+    share is refused.
     """
-    candidates = heavy_candidates(df, fields, **sketch).filter(F.col("n") >= F.lit(share) * F.col("total"))
+    width = width_for(share / 4) if width is None else width
+    least = 1 / (share - math.e / width) if share * width > math.e else math.inf
+    keep = math.ceil(min(least, 1 << 31)) + 1 if keep is None else keep
+    if keep < least:
+        raise ValueError(f"a heap of {keep} over {width} counters can lose values of share {share}")
+    candidates = heavy_candidates(df, fields, keep, width).filter(F.col("n") >= F.lit(share) * F.col("total"))
     pairs = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("item")) for f in fields])))
     counted = pairs.join(F.broadcast(candidates.select("field_name", "item", "total")), ["field_name", "item"])
     exact = counted.groupBy("field_name", "item", "total").agg(F.count(F.lit(1)).alias("n"))
