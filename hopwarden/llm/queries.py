@@ -16,16 +16,17 @@ DISTINCT_ERROR = 0.01
 FREQUENT_SHARE = 0.005
 TOP = 20
 
+#: Levels by DuckDB's number of grouping(day, peer_asn, is_recurrent), each with the bits its largest group needs.
 SQL_BITMAPS = f"""
-      with size as (select count(*) as n from new_link),
-      bits as (select min(m) as m from (select 1::bigint << i as m from range(6, 50) t(i)), size
-               where n = 0 or (n <= 16 * m and sqrt(m * (exp(n::double / m) - n::double / m - 1)) / n <= {DISTINCT_ERROR})),
-      sets as (select grouping(day, peer_asn, is_recurrent) as grouping_set, day, peer_asn, is_recurrent,
-                 count(distinct b1) as ones1, count(distinct b2) as ones2
-               from (select cast(observed_at as date) as day, peer_asn, is_recurrent,
-                       ('0x' || substr(md5(prefix), 1, 15))::bigint % m as b1,
-                       ('0x' || substr(md5(as_path), 1, 15))::bigint % m as b2 from new_link, bits)
-               group by cube (day, peer_asn, is_recurrent))"""
+      with keyed as (select cast(observed_at as date) as day, peer_asn, is_recurrent,
+                       ('0x' || substr(md5(prefix), 1, 15))::bigint as h1, ('0x' || substr(md5(as_path), 1, 15))::bigint as h2 from new_link),
+      level as (select grouping_set, max(n) as n from (select grouping(day, peer_asn, is_recurrent) as grouping_set, count(*) as n
+                 from keyed group by cube (day, peer_asn, is_recurrent)) group by grouping_set),
+      bits as (select grouping_set, min(m) as m from (select 1::bigint << i as m from range(6, 50) t(i)), level
+               where n = 0 or (n <= {distinct.FULLEST} * m and sqrt(m * (exp(n::double / m) - n::double / m - 1)) / n <= {DISTINCT_ERROR}) group by grouping_set),
+      sets as (select grouping_set, m, if(grouping_set & 4 = 0, day, null) as day, if(grouping_set & 2 = 0, peer_asn, null) as peer_asn,
+                 if(grouping_set & 1 = 0, is_recurrent, null) as is_recurrent, count(distinct h1 % m) as ones1, count(distinct h2 % m) as ones2
+               from keyed, bits group by all)"""
 
 
 def _sql_estimates(where: str) -> str:
@@ -36,7 +37,7 @@ def _sql_estimates(where: str) -> str:
       select grouping_set, day, peer_asn, is_recurrent, m,
              cast(round(-m * ln((m - ones1)::double / m)) as bigint) as n_prefix,
              cast(round(-m * ln((m - ones2)::double / m)) as bigint) as n_as_path
-      from sets, bits where {where})"""
+      from sets where {where})"""
 
 
 def _day() -> dict[str, Column]:
@@ -51,7 +52,7 @@ def _identifiers() -> dict[str, Column]:
 def p1_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Distinct prefixes and paths per day, observer, recurrence and every combination, from bitmaps."""
     links = table(spark, d, "new_link")
-    m = distinct.bitmap_bits(links.count(), DISTINCT_ERROR)
+    m = distinct.level_bits(links, _day(), DISTINCT_ERROR)
     partials = distinct.bitmaps(links, _day(), _identifiers(), m)
     return distinct.estimates(partials, list(_day()), list(_identifiers()), m)
 
@@ -60,13 +61,13 @@ def p1_distinct(spark: SparkSession, d: str) -> DataFrame:
 def p1_merged_days(spark: SparkSession, d: str) -> DataFrame:
     """The same per day, from partial results of the recurrent and the other links joined afterwards."""
     links = table(spark, d, "new_link")
-    m = distinct.bitmap_bits(links.count(), DISTINCT_ERROR)
     day = {"day": F.to_date("observed_at")}
+    m = {0: distinct.level_bits(links, day, DISTINCT_ERROR)[0]}
     parts = [
         distinct.bitmaps(links.filter(where), day, _identifiers(), m)
         for where in ("is_recurrent", "not is_recurrent or is_recurrent is null")
     ]
-    found = distinct.estimates(distinct.merge_bitmaps(*parts), ["day"], list(_identifiers()), m, combine=False)
+    found = distinct.estimates(distinct.merge_bitmaps(*parts, m=m), ["day"], list(_identifiers()), m)
     return found.select(
         F.lit(3).cast("bigint").alias("grouping_set"),
         "day",
@@ -128,6 +129,15 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.collapse(table(spark, d, "new_link"), "id", _sighting())
 
 
+@R.query(
+    """select min(id) as first_id, count(*) as copies from new_link
+       group by least(asn1, asn2), greatest(asn1, asn2), asn1 is null or asn2 is null"""
+)
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """One record per link, its ends in either order, with its number of sightings: a few links are hot keys."""
+    return duplicates.collapse(table(spark, d, "new_link"), "id", [duplicates.unordered(F.col("asn1"), F.col("asn2"))])
+
+
 @R.query()
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), ["doc_id"])
