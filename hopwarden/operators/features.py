@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hopwarden.functions.paths import WINDOW, collapse, fixed_window
 from hopwarden.operators.topology import day_counts, neighbours
-from hopwarden.session import cut_lineage
+from hopwarden.session import cut_lineage, once
 
 #: The distance of ASes of which one has no attributes; days in which both directions of a link must be seen.
 NO_DISTANCE, BIDI_DAYS = -1.0, 31
@@ -92,7 +92,7 @@ def relative_metrics(paths: DataFrame, id_column: str, path: str, metrics: dict[
 
 def pattern_features(paths: DataFrame, id_column: str, path: str, metrics: dict[str, DataFrame]) -> DataFrame:
     """(id, <metric>_1 ... <metric>_6 for each metric): the fixed windows of the relative metrics, interleaved."""
-    steps = relative_metrics(paths.select(id_column, collapse(F.col(path)).alias("__p")), id_column, "__p", metrics)
+    steps = relative_metrics(paths.select(id_column, once(collapse(F.col(path))).alias("__p")), id_column, "__p", metrics)
     windows = steps.select(id_column, *[fixed_window(F.col(name)).alias(name) for name in metrics])
     columns: list[Column] = [F.col(name)[i].alias(f"{name}_{i + 1}") for i in range(WINDOW) for name in metrics]
     return windows.select(id_column, *columns)

@@ -8,6 +8,7 @@ Where an end is not in G, or no path joins the ends without e, `before` is zero
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 from hopwarden.operators.topology import degrees, neighbours
 from hopwarden.session import cut_lineage
 
-#: Up to this many links the graph is sent to the tasks as two arrays (16 bytes a link and direction); beyond it,
-#: searches run as joins.
-MAX_SENT_LINKS = 5_000_000
+#: Up to this many bytes the graph is sent to the tasks as two arrays, beyond it searches run as joins; both give the same.
+SENT_BYTES, BYTES_A_LINK = 64 << 20, 32
 MAX_ROUNDS = 64
+#: Searches run at once: one for each bit of a bigint.
+WORD = 64
 
 LINK = ["as1", "as2"]
 
@@ -39,17 +41,24 @@ def common_neighbours(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return wide.join(have, ["__a", "__b"], "left_semi").select(*LINK, F.col("other").alias("w"))
 
 
-def triangles(links: DataFrame) -> DataFrame:
-    """(asn, triangles): triangles through each AS that has any."""
-    per_link = common_neighbours(links, links).groupBy(*LINK).agg(F.count(F.lit(1)).alias("n"))
-    return per_link.select(F.explode(F.array(*LINK)).alias("asn"), "n").groupBy("asn").agg((F.sum("n") / 2).cast("bigint").alias("triangles"))
+def triangles(links: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(asn, triangles): triangles through each AS that has any, or through those of `of` (asn), without looking at others."""
+    if of is None:
+        per_link = common_neighbours(links, links).groupBy(*LINK).agg(F.count(F.lit(1)).alias("n"))
+        return per_link.select(F.explode(F.array(*LINK)).alias("asn"), "n").groupBy("asn").agg((F.sum("n") / 2).cast("bigint").alias("triangles"))
+    mine = neighbours(links).join(of.select("asn"), "asn", "left_semi")
+    own = mine.select(F.least("asn", "other").alias("as1"), F.greatest("asn", "other").alias("as2"))
+    per_link = common_neighbours(own.distinct(), links).groupBy(*LINK).agg(F.count(F.lit(1)).alias("n"))
+    sides = per_link.select(F.explode(F.array(*LINK)).alias("asn"), "n").join(of.select("asn"), "asn", "left_semi")
+    return sides.groupBy("asn").agg((F.sum("n") / 2).cast("bigint").alias("triangles"))
 
 
-def neighbour_degree_sums(links: DataFrame) -> DataFrame:
-    """(asn, degree, degree_sum): degree and the sum of the neighbours' degrees."""
-    deg = degrees(links)
-    sums = neighbours(links).join(deg.select(F.col("asn").alias("other"), "degree"), "other").groupBy("asn").agg(F.sum("degree").alias("degree_sum"))
-    return deg.join(sums, "asn")
+def neighbour_degree_sums(links: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(asn, degree, degree_sum): degree and the sum of the neighbours' degrees, of all ASes or of those of `of` (asn)."""
+    deg, near = degrees(links), neighbours(links)
+    near = near if of is None else near.join(of.select("asn"), "asn", "left_semi")
+    each = near.join(deg.select(F.col("asn").alias("other"), F.col("degree").alias("d")), "other")
+    return each.groupBy("asn").agg(F.count(F.lit(1)).alias("degree"), F.sum("d").alias("degree_sum"))
 
 
 # --- searches -------------------------------------------------------------------------------------------------------
@@ -110,7 +119,7 @@ def _searcher(sent):
 def reach_by_arrays(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """Reach, distance sum, harmonic sum and greatest distance of both ends, before and after, by searches in arrays.
 
-    The caller has checked that there are at most MAX_SENT_LINKS links.
+    The caller has checked that the links take at most SENT_BYTES.
     """
     t = neighbours(links).toArrow()
     a, b = (t.column(c).to_numpy() for c in ("asn", "other"))
@@ -122,75 +131,140 @@ def reach_by_arrays(candidates: DataFrame, links: DataFrame) -> DataFrame:
     return candidates.select(*LINK).repartition(*LINK).mapInPandas(_searcher(sent), _REACH)
 
 
-def distances(candidates: DataFrame, links: DataFrame) -> DataFrame:
-    """(as1, as2, side, node, dist) in the graph without the candidate, by rounds of joins.
+def reach_by_joins(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """The same as reach_by_arrays for graphs of any size: WORD candidates are searched at once, a bit each.
 
-    A round's new nodes are checkpointed; it ends when a round finds none.
+    A row is a node and a word of candidates with the bits that reached it from either end, so a round joins the links to
+    nodes x candidates / WORD rows. Rounds are checkpointed; counts by distance are taken from them afterwards.
     """
     near = neighbours(links).select(F.col("asn").alias("node"), "other")
-    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("as1").alias("node")), F.struct(F.lit(2).alias("side"), F.col("as2").alias("node")))
-    there = links.select(F.explode(F.array(*LINK)).alias("node")).distinct()
-    frontier = candidates.select(*LINK, F.inline(sides)).join(there, "node", "left_semi").withColumn("dist", F.lit(0).cast("bigint"))
-    frontier = cut_lineage(frontier.select(*LINK, "side", "node", "dist"))
-    seen, key = frontier, [*LINK, "side", "node"]
-    for level in range(1, MAX_ROUNDS + 1):
-        step = frontier.join(near, "node").filter(
-            ~(((F.col("node") == F.col("as1")) & (F.col("other") == F.col("as2"))) | ((F.col("node") == F.col("as2")) & (F.col("other") == F.col("as1"))))
-        )
-        found = step.select(*LINK, "side", F.col("other").alias("node")).distinct().join(seen, key, "left_anti")
-        frontier = cut_lineage(found.withColumn("dist", F.lit(level).cast("bigint")))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"a search took more than {MAX_ROUNDS} rounds")
-
-
-def reach_by_joins(candidates: DataFrame, links: DataFrame) -> DataFrame:
-    """The same as reach_by_arrays for graphs of any size."""
-    found = distances(candidates, links)
-    d = lambda side: F.min(F.when(F.col("side") == side, F.col("dist")))
-    per_node = found.groupBy(*LINK, "node").agg(d(1).alias("d1"), d(2).alias("d2"))
-    ends = candidates.select(*LINK, F.explode(F.array(*LINK)).alias("node"))
-    per_node = ends.join(per_node, [*LINK, "node"], "full_outer")
-    a1 = F.when(F.col("node") == F.col("as1"), F.lit(0).cast("bigint")).when(F.col("node") == F.col("as2"), F.lit(1).cast("bigint")).otherwise(F.least("d1", F.col("d2") + 1))
-    a2 = F.when(F.col("node") == F.col("as2"), F.lit(0).cast("bigint")).when(F.col("node") == F.col("as1"), F.lit(1).cast("bigint")).otherwise(F.least("d2", F.col("d1") + 1))
-    full = per_node.withColumns({"before1": F.col("d1"), "before2": F.col("d2"), "after1": a1, "after2": a2})
-    aggs = [F.coalesce(F.max(F.when(F.col("node") == F.col("as2"), F.col("d1"))), F.lit(-1)).cast("int").alias("apart")]
+    numbered = cut_lineage(candidates.select(*LINK).withColumn("__n", F.monotonically_increasing_id()))
+    one = F.expr(f"shiftleft(1L, cast(__n % {WORD} as int))")
+    numbered = numbered.select(*LINK, F.expr(f"__n div {WORD}").alias("word"), F.expr(f"cast(__n % {WORD} as int)").alias("bit"), one.alias("mask"))
+    zero = F.lit(0).cast("bigint")
+    seeds = [numbered.select("word", F.col(a).alias("node"), *[(F.col("mask") if a == x else zero).alias(f"f{i}") for i, x in ((1, "as1"), (2, "as2"))]) for a in LINK]
+    state = seeds[0].unionByName(seeds[1]).groupBy("word", "node").agg(F.bit_or("f1").alias("f1"), F.bit_or("f2").alias("f2"))
+    state = cut_lineage(state.select("word", "node", F.col("f1").alias("s1"), F.col("f2").alias("s2"), "f1", "f2"))
+    ends = [numbered.select("word", F.col(a).alias("node"), F.col(b).alias("other"), "mask") for a, b in (LINK, LINK[::-1])]
+    own = ends[0].unionByName(ends[1]).groupBy("word", "node", "other").agg(F.bit_or("mask").alias("barred"))  # a candidate's own link is no way
+    found, states = True, [state]
+    while found:
+        if len(states) > MAX_ROUNDS:
+            raise RuntimeError(f"a search took more than {MAX_ROUNDS} rounds")
+        sent = states[-1].filter("f1 <> 0 or f2 <> 0").select("word", "node", "f1", "f2").join(near, "node").join(own, ["word", "node", "other"], "left")
+        free = F.bitwise_not(F.coalesce("barred", zero))
+        got = sent.groupBy("word", F.col("other").alias("node")).agg(*[F.bit_or(F.col(f"f{i}").bitwiseAND(free)).alias(f"g{i}") for i in (1, 2)])
+        both = states[-1].select("word", "node", "s1", "s2").join(got, ["word", "node"], "full_outer")
+        was = {i: F.coalesce(f"s{i}", zero) for i in (1, 2)}
+        fresh = {i: F.coalesce(f"g{i}", zero).bitwiseAND(F.bitwise_not(was[i])) for i in (1, 2)}
+        states.append(cut_lineage(both.select("word", "node", *[was[i].bitwiseOR(fresh[i]).alias(f"s{i}") for i in (1, 2)], *[fresh[i].alias(f"f{i}") for i in (1, 2)])))
+        found = not states[-1].filter("f1 <> 0 or f2 <> 0").isEmpty()
+    # within distance k of an end after the addition: what is within k of it, or within k - 1 of the other, without the link
+    counted, met = [], []
+    for k, at in enumerate(states):
+        earlier = {i: F.col(f"s{i}").bitwiseAND(F.bitwise_not(F.col(f"f{i}"))) for i in (1, 2)}
+        sets = {"before1": F.col("s1"), "before2": F.col("s2"), "after1": F.col("s1").bitwiseOR(earlier[2]), "after2": F.col("s2").bitwiseOR(earlier[1])}
+        sums = [F.array(*[F.sum(F.call_function("getbit", c, F.lit(b)).cast("bigint")) for b in range(WORD)]).alias(n) for n, c in sets.items()]
+        counted.append(at.groupBy("word").agg(*sums).withColumn("k", F.lit(k)))
+        hit = numbered.join(at.select("word", F.col("node").alias("as2"), "f1"), ["word", "as2"]).filter(F.col("f1").bitwiseAND(F.col("mask")) != 0)
+        met.append(hit.select(*LINK, F.lit(k).alias("apart")))
+    levels, apart = counted[0], met[0]
+    for c, m in zip(counted[1:], met[1:]):
+        levels, apart = levels.unionByName(c), apart.unionByName(m)
+    each = numbered.join(cut_lineage(levels), "word")
+    each = each.select(*LINK, "k", *[F.get(n, F.col("bit")).alias(n) for n in ("before1", "before2", "after1", "after2")])
+    by_k = each.groupBy(*LINK).agg(F.array_sort(F.collect_list(F.struct("k", "before1", "before2", "after1", "after2"))).alias("x"))  # one per round
+    out: list[Column] = []
     for w in ("before", "after"):
         for i in (1, 2):
-            c = F.col(f"{w}{i}")
-            aggs += [
-                F.count(c).alias(f"{w}_r{i}"),
-                F.coalesce(F.sum(c), F.lit(0)).alias(f"{w}_s{i}"),
-                F.coalesce(F.sum(F.when(c > 0, 1 / c)), F.lit(0.0)).alias(f"{w}_h{i}"),
-                F.coalesce(F.max(c), F.lit(0)).alias(f"{w}_e{i}"),
-            ]
-    return full.groupBy(*LINK).agg(*aggs)
+            out += _from_counts(F.col(f"x.{w}{i}"), f"{w}_", i)
+    joined = by_k.join(apart, LINK, "left")
+    there = links.select(F.explode(F.array(*LINK)).alias("asn")).distinct()
+    for i, a in ((1, "as1"), (2, "as2")):  # an end that is not in the graph reaches nothing before
+        joined = joined.join(there.select(F.col("asn").alias(a), F.lit(True).alias(f"in{i}")), a, "left")
+    apart_ = F.when(F.col("in1") & F.col("in2"), F.col("apart"))
+    full = joined.select(*LINK, F.coalesce(apart_, F.lit(-1)).alias("apart"), "in1", "in2", *out)
+    kept = [F.when(F.col(f"in{c[-1]}"), F.col(c)).otherwise(F.lit(0)).alias(c) if c.startswith("before") else F.col(c) for c in full.columns[5:]]
+    return full.select(*LINK, "apart", *kept)
+
+
+def _from_counts(within: Column, name: str, i: int) -> list[Column]:
+    """Reach, distance sum, harmonic sum and greatest distance from the numbers of nodes within 0, 1, 2, ... steps."""
+    grown = F.transform(within, lambda n, k: n - F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.get(within, F.greatest(k - 1, F.lit(0)))))
+    far = F.transform(grown, lambda g, k: F.when(k > 0, g / F.greatest(k, F.lit(1))).otherwise(0.0))
+    return [
+        F.array_max(within).alias(f"{name}r{i}"),
+        F.aggregate(F.transform(grown, lambda g, k: g * k), F.lit(0).cast("bigint"), lambda a, b: a + b).alias(f"{name}s{i}"),
+        F.aggregate(far, F.lit(0.0), lambda a, b: a + b).alias(f"{name}h{i}"),
+        F.array_max(F.transform(grown, lambda g, k: F.when(g > 0, k).otherwise(0))).cast("bigint").alias(f"{name}e{i}"),
+    ]
 
 
 def reach(candidates: DataFrame, links: DataFrame) -> DataFrame:
-    by_arrays = links.count() <= MAX_SENT_LINKS
-    return (reach_by_arrays if by_arrays else reach_by_joins)(candidates, links)
+    small = links.count() * BYTES_A_LINK <= SENT_BYTES
+    return (reach_by_arrays if small else reach_by_joins)(candidates, links)
 
 
-# --- all features ---------------------------------------------------------------------------------------------------
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """(asn, root, parent, depth): a breadth-first tree of every component, from its AS of most links (ties by number).
 
-END_FEATURES = (
-    "degree_centrality", "average_neighbor_degree", "triangles", "clustering", "eccentricity", "harmonic_centrality", "closeness_centrality",
-)
-LINK_FEATURES = ("shortest_path", "jaccard", "adamic_adar", "preferential_attachement")
+    Every AS passes the best label it knows on to its neighbours; the component's best label reaches each AS by a shortest
+    path, so the round of an AS's last change is its depth. AS numbers have 32 bits. Roots have no parent and depth 0.
+    """
+    near = neighbours(links).select(F.col("other").alias("asn"), F.col("asn").alias("from"))
+    label = (F.lit((1 << 30) - 1) - F.least("degree", F.lit((1 << 30) - 1))) * (1 << 32) + F.col("asn")
+    state = cut_lineage(degrees(links).select("asn", label.alias("label"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth")))
+    for k in range(1, MAX_ROUNDS + 2):
+        changed = state.filter(F.col("depth") == k - 1).select(F.col("asn").alias("from"), F.col("label").alias("given"))
+        if changed.isEmpty():
+            return state.select("asn", (F.col("label") % (1 << 32)).alias("root"), "parent", "depth")
+        best = near.join(changed, "from").groupBy("asn").agg(F.min("given").alias("given"), F.min_by("from", "given").alias("from"))
+        better = F.col("given") < F.col("label")
+        pick = lambda new, old: F.when(better, new).otherwise(F.col(old)).alias(old)
+        state = cut_lineage(state.join(best, "asn", "left").select("asn", pick(F.col("given"), "label"), pick(F.col("from"), "parent"), pick(F.lit(k), "depth")))
+    raise RuntimeError(f"a component is deeper than {MAX_ROUNDS} rounds")
+
+
+def bridges(links: DataFrame, forest: DataFrame | None = None) -> DataFrame:
+    """(as1, as2): the links whose ends fall apart without them, all found together in time linear in the links.
+
+    Each link outside the spanning forest gets a random 64-bit label, each AS the xor of its links' labels. A tree link is a
+    bridge where the xor over the subtree below it is 0: then no outside link leaves the subtree. That another sum of labels
+    is 0 by chance has a probability of 2^-64 a link.
+    """
+    forest = spanning_forest(links) if forest is None else forest
+    tree = forest.filter("parent is not null").select(F.least("asn", "parent").alias("as1"), F.greatest("asn", "parent").alias("as2"))
+    outside = links.select(*LINK).join(tree, LINK, "left_anti").select(F.explode(F.array(*LINK)).alias("asn"), F.xxhash64(F.lit(1), *LINK).alias("x"))
+    own = outside.groupBy("asn").agg(F.bit_xor("x").alias("x"))
+    nodes = cut_lineage(forest.join(own, "asn", "left").select("asn", "parent", "depth", F.coalesce("x", F.lit(0).cast("bigint")).alias("x")))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    below, found = None, []  # (asn, x): sums of the children, by their parent
+    for depth in range(deepest, 0, -1):
+        at = nodes.filter(F.col("depth") == depth)
+        summed = at if below is None else at.join(below, "asn", "left").select("asn", "parent", "depth", F.col("x").bitwiseXOR(F.coalesce("below", F.lit(0).cast("bigint"))).alias("x"))
+        summed = cut_lineage(summed) if depth > 1 else summed  # read by its own level and the one above
+        found.append(summed.filter("x = 0").select(F.least("asn", "parent").alias("as1"), F.greatest("asn", "parent").alias("as2")))
+        below = summed.groupBy(F.col("parent").alias("asn")).agg(F.bit_xor("x").alias("below"))
+    out = tree.limit(0)
+    for f in found:
+        out = out.unionByName(f)
+    return out
 
 
+# --- all features ---------------------------------------------------------------------------------------------------
+
 def topological_features(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """(as1, as2, <end feature>_as1, <end feature>_as2, <link feature>): after - before of every candidate.
 
     candidates, links: distinct (as1, as2), as1 < as2. Candidates may be part of the links or not.
     """
+    candidates = cut_lineage(candidates.select(*LINK))
     n = links.select(F.explode(F.array(*LINK)).alias("asn")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    base = candidates.select(*LINK)
+    base = candidates
+    ends = candidates.select(F.explode(F.array(*LINK)).alias("asn")).distinct()
+    local = cut_lineage(neighbour_degree_sums(links, ends).join(triangles(links, ends), "asn", "left"))
     for i, a in ((1, "as1"), (2, "as2")):
-        own = neighbour_degree_sums(links).join(triangles(links), "asn", "left")
-        own = own.select(F.col("asn").alias(a), F.col("degree").alias(f"d{i}"), F.col("degree_sum").alias(f"s{i}"), F.coalesce("triangles", F.lit(0)).alias(f"t{i}"))
+        own = local.select(F.col("asn").alias(a), F.col("degree").alias(f"d{i}"), F.col("degree_sum").alias(f"s{i}"), F.coalesce("triangles", F.lit(0)).alias(f"t{i}"))
         base = base.join(own, a, "left")
     shared = common_neighbours(candidates, links).join(degrees(links).withColumnRenamed("asn", "w"), "w")
     cn = shared.groupBy(*LINK).agg(F.count(F.lit(1)).alias("cn"), F.sum(1 / F.log(F.col("degree").cast("double"))).alias("aa"))
@@ -236,14 +310,15 @@ def topological_features(candidates: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def on_a_cycle(candidates: DataFrame, links: DataFrame) -> DataFrame:
-    """(as1, as2, connected): whether the ends stay connected without the link.
+    """(as1, as2, connected): whether the ends are connected without the link; candidates may be part of the links or not.
 
-    A common neighbour proves it; only links without one are searched.
+    A link of the graph is so unless it is a bridge, any other pair if both ends are in one component.
     """
-    safe = common_neighbours(candidates, links).select(*LINK).distinct()
-    rest = candidates.select(*LINK).join(safe, LINK, "left_anti")
-    searched = reach(rest, links).select(*LINK, (F.col("apart") >= 0).alias("connected"))
-    return safe.withColumn("connected", F.lit(True)).unionByName(searched)
+    forest = cut_lineage(spanning_forest(links))
+    x, y = (forest.select(F.col("asn").alias(a), F.col("root").alias(f"__r{a}")) for a in LINK)
+    marked = candidates.select(*LINK).join(bridges(links, forest).withColumn("__cut", F.lit(True)), LINK, "left").join(x, "as1", "left").join(y, "as2", "left")
+    together = F.coalesce(F.col("__ras1") == F.col("__ras2"), F.lit(False))
+    return marked.select(*LINK, (together & F.col("__cut").isNull()).alias("connected"))
 
 
 # --- optional centralities ------------------------------------------------------------------------------------------
@@ -277,53 +352,74 @@ def eigenvector_centrality(links: DataFrame, rounds: int = 20) -> DataFrame:
 
 
 def square_clustering(links: DataFrame) -> DataFrame:
-    """(asn, square_clustering): squares through an AS against the possible ones, by two-step joins."""
+    """(asn, square_clustering): squares through an AS against the possible ones.
+
+    Summed over the pairs of an AS's d neighbours, the possible ones are (d - 1) times the neighbours' degrees less d (d - 1)
+    less the squares less twice the triangles. A square is found at its corner of the highest degree (ties by number): two-step
+    paths down from it, by their far end, so no AS's neighbours are all paired and the work is links times their square root.
+    """
     near, deg = neighbours(links), degrees(links)
-    two = near.select(F.col("other").alias("mid"), F.col("asn").alias("u")).join(near.select(F.col("asn").alias("mid"), F.col("other").alias("v")), "mid").filter("u < v")
-    meets = two.groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"))
-    # per AS x and pair (u, v) of its neighbours: squares = common neighbours of u and v besides x
-    pairs = two.join(meets, ["u", "v"]).withColumnRenamed("mid", "asn")
-    adjacent = links.select(F.col("as1").alias("u"), F.col("as2").alias("v"), F.lit(1).alias("theta"))
-    du, dv = (deg.select(F.col("asn").alias(x), F.col("degree").alias(f"d{x}")) for x in ("u", "v"))
-    full = pairs.join(adjacent, ["u", "v"], "left").join(du, "u").join(dv, "v")
-    squares = F.col("common") - 1
-    theta = F.coalesce("theta", F.lit(0))
-    possible = F.greatest(F.col("du") - (1 + squares + theta) + F.col("dv") - (1 + squares + theta) + squares, F.lit(0))
-    found = full.groupBy("asn").agg(F.sum(squares).alias("s"), F.sum(possible).alias("p"))
-    value = F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0)
-    return deg.select("asn").join(found, "asn", "left").select("asn", F.coalesce(value, F.lit(0.0)).alias("square_clustering"))
-
-
-def _maximal_cliques(near: dict[int, set[int]]) -> int:
-    """Number of maximal cliques of a graph: depth-first with pivots, on a stack of (candidates, excluded)."""
-    count, stack = 0, [(set(near), set())]
+    ranked = near.join(deg, "asn").select("asn", "other", F.struct("degree", "asn").alias("ra"))
+    ranked = ranked.join(deg.select(F.col("asn").alias("other"), F.col("degree").alias("do")), "other").select("asn", "other", "ra", F.struct(F.col("do"), F.col("other")).alias("ro"))
+    down = ranked.filter("ra > ro").select(F.col("asn").alias("top"), F.col("other").alias("mid"), F.col("ra").alias("rt"))
+    paths = down.join(ranked.select(F.col("asn").alias("mid"), F.col("other").alias("far"), F.col("ro").alias("rf")), "mid").filter("rf < rt").select("top", "mid", "far")
+    shared = paths.groupBy("top", "far").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    corners = shared.select(F.explode(F.array("top", "far")).alias("asn"), F.expr("c * (c - 1) div 2").alias("s"))
+    sides = paths.join(shared, ["top", "far"]).select(F.col("mid").alias("asn"), (F.col("c") - 1).alias("s"))
+    squares = corners.unionByName(sides).groupBy("asn").agg(F.sum("s").alias("s"))
+    full = neighbour_degree_sums(links).join(squares, "asn", "left").join(triangles(links), "asn", "left")
+    zero = F.lit(0).cast("bigint")
+    s_, d = F.coalesce("s", zero), F.col("degree")
+    possible = (d - 1) * F.col("degree_sum") - d * (d - 1) - s_ - 2 * F.coalesce("triangles", zero)
+    return full.select("asn", F.when(possible > 0, s_ / possible).otherwise(0.0).alias("square_clustering"))
+
+
+def _maximal_cliques(near: dict[int, set[int]], candidates: set[int], excluded: set[int]) -> Iterator[set[int]]:
+    """Cliques among the candidates that nothing of candidates or excluded extends: depth-first with pivots, on a stack."""
+    stack = [(set(), candidates, excluded)]
     while stack:
-        candidates, excluded = stack.pop()
-        if not candidates:
-            count += not excluded
+        clique, open_, shut = stack.pop()
+        if not open_:
+            if not shut:
+                yield clique
             continue
-        pivot = max(candidates | excluded, key=lambda v: len(near[v] & candidates))
-        for v in list(candidates - near[pivot]):
-            stack.append((candidates & near[v], excluded & near[v]))
-            candidates = candidates - {v}
-            excluded = excluded | {v}
-    return count
+        pivot = max(open_ | shut, key=lambda v: len(near[v] & open_))
+        for v in list(open_ - near[pivot]):
+            stack.append((clique | {v}, open_ & near[v], shut & near[v]))
+            open_ = open_ - {v}
+            shut = shut | {v}
 
 
 def number_of_cliques(links: DataFrame) -> DataFrame:
     """(asn, number_of_cliques): maximal cliques that contain each AS.
 
-    They are the maximal cliques of the graph among its neighbours, so each AS is worked on by itself from its triangles
-    and its neighbours; an AS's part is as large as its triangles are many. Off by default, as the count can explode.
+    A clique is found once, at its AS of the lowest degree (ties by number), among that AS's neighbours of higher order - at
+    most the square root of twice the links, however many neighbours there are; lower neighbours only tell whether it could
+    be extended. So a task's part is the triangles of one AS that hold a higher neighbour. Off by default, as the count can
+    explode with dense cores.
     """
+    deg = degrees(links)
+    rank = {x: deg.select(F.col("asn").alias(x), F.struct("degree", "asn").alias(f"r{x}")) for x in ("asn", "a", "b")}
     edges = common_neighbours(links, links).select(F.col("w").alias("asn"), F.col("as1").alias("a"), F.col("as2").alias("b"))
-    alone = neighbours(links).select("asn", F.col("other").alias("a"), F.lit(None).cast("bigint").alias("b"))
-
-    def count(ego: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {int(v): set() for v in ego.loc[ego["b"].isna(), "a"]}
-        for a, b in ego.loc[ego["b"].notna(), ["a", "b"]].astype("int64").itertuples(index=False):
-            near[a].add(b)
-            near[b].add(a)
-        return pd.DataFrame({"asn": [int(ego["asn"].iloc[0])], "number_of_cliques": [_maximal_cliques(near)]})
-
-    return edges.unionByName(alone).groupBy("asn").applyInPandas(count, "asn long, number_of_cliques long")
+    edges = edges.join(rank["asn"], "asn").join(rank["a"], "a").join(rank["b"], "b").filter("ra > rasn or rb > rasn")
+    edges = edges.select("asn", "a", "b", F.expr("ra > rasn").alias("up_a"), F.expr("rb > rasn").alias("up_b"))
+    alone = neighbours(links).withColumnRenamed("other", "a").join(rank["asn"], "asn").join(rank["a"], "a").filter("ra > rasn")
+    alone = alone.select("asn", "a", F.lit(None).cast("bigint").alias("b"), F.lit(True).alias("up_a"), F.lit(None).cast("boolean").alias("up_b"))
+
+    def find(ego: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {}
+        open_, shut = set(), set()
+        for row in ego[["a", "b", "up_a", "up_b"]].to_numpy(object, na_value=None):
+            for v, up in ((row[0], row[2]), (row[1], row[3])):
+                if v is not None:
+                    near.setdefault(v, set())
+                    (open_ if up else shut).add(v)
+            if row[1] is not None:
+                near[row[0]].add(row[1])
+                near[row[1]].add(row[0])
+        counts = Counter(v for clique in _maximal_cliques(near, open_, shut) for v in [*clique, None])
+        own = int(ego["asn"].iloc[0])
+        return pd.DataFrame({"asn": [own if v is None else int(v) for v in counts], "number_of_cliques": list(counts.values())})
+
+    found = edges.unionByName(alone).groupBy("asn").applyInPandas(find, "asn long, number_of_cliques long")
+    return found.groupBy("asn").agg(F.sum("number_of_cliques").alias("number_of_cliques"))

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopwarden.session import once
+
 #: Observers wanted per link, days after which a suspicious link is let in again, days of history.
 OBSERVERS, QUARANTINE_DAYS, HISTORY_DAYS = 10, 31, 300
 
@@ -62,5 +64,5 @@ def earliest_sightings(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def touching_paths(paths: DataFrame, id_column: str, pairs: Column, watched: DataFrame) -> DataFrame:
     """Ids of the paths that run over a watched link in either direction. watched: (as1, as2) with as1 < as2."""
-    links = paths.select(F.col(id_column), F.inline(pairs)).select(id_column, F.least("a", "b").alias("as1"), F.greatest("a", "b").alias("as2"))
+    links = paths.select(F.col(id_column), once(pairs).alias("__z")).select(id_column, F.inline("__z")).select(id_column, F.least("a", "b").alias("as1"), F.greatest("a", "b").alias("as2"))
     return links.join(watched, ["as1", "as2"], "left_semi").select(id_column).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopwarden.operators.features import category_probability
-from hopwarden.operators.graph import on_a_cycle
+from hopwarden.operators.graph import bridges
 from hopwarden.session import cut_lineage
 
 #: Cones above this are left to themselves, as are the ASes the caller lists as the top of the hierarchy.
@@ -35,21 +35,14 @@ def categories(links: DataFrame, labels: DataFrame) -> DataFrame:
 def negative_sample(links: DataFrame, labels: DataFrame, carried: DataFrame, size: int, k: float = 1.0, seed: str = "0") -> DataFrame:
     """(as1, as2, path): existing links by damped category probability, no bridges, each with a path that runs over it.
 
-    carried: (as1, as2, path) with at least one path per link to be drawn. A draw twice as large as wanted is searched
-    for bridges; it is doubled while too few are left.
+    carried: (as1, as2, path) with at least one path per link to be drawn. Probabilities count bridges too; they are found
+    once, in the whole graph. Fewer links than wanted: all of them.
     """
     links = cut_lineage(links)
     named = cut_lineage(categories(links, labels).join(carried.select("as1", "as2").distinct(), ["as1", "as2"], "left_semi"))
     counts = named.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     weights = F.broadcast(category_probability(counts, k).select("c1", "c2", (F.col("p") / F.col("n")).alias("w")))  # one row per category pair
-    weighted, have = named.join(weights, ["c1", "c2"]), named.count()
-    take = 2 * size
-    while True:
-        drawn = cut_lineage(weighted_sample(weighted, F.col("w"), uniform(F.lit(seed), "as1", "as2"), take, ["as1", "as2"]))
-        kept = cut_lineage(drawn.join(on_a_cycle(drawn, links).filter("connected"), ["as1", "as2"], "left_semi"))
-        if take >= have or kept.count() >= size:
-            break
-        take *= 2
+    kept = named.join(weights, ["c1", "c2"]).join(bridges(links), ["as1", "as2"], "left_anti")
     chosen = weighted_sample(kept, F.col("w"), uniform(F.lit(seed), "as1", "as2"), size, ["as1", "as2"]).select("as1", "as2")
     return chosen.join(carried, ["as1", "as2"]).groupBy("as1", "as2").agg(F.min_by("path", F.md5(F.concat_ws(" ", F.lit(seed), "path"))).alias("path"))
 

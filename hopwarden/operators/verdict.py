@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwarden.functions import paths, prefixes
+from hopwarden.session import once
 
 LINK = ["as1", "as2"]
 
@@ -64,8 +65,8 @@ def origin_validity(announced: DataFrame, roas: DataFrame, rfc6811: bool = False
     compared; prefixes that cannot be read have valid false.
     """
     pairs = announced.filter("origin is not null and prefix is not null").select("origin", "prefix").distinct()
-    known = roas.select(F.col("asn").alias("__asn"), "max_length", prefixes.parsed(F.col("prefix")).alias("k")).filter("k is not null")
-    wide = pairs.withColumn("p", prefixes.parsed(F.col("prefix"))).filter("p is not null")
+    known = roas.select(F.col("asn").alias("__asn"), "max_length", once(prefixes.parsed(F.col("prefix"))).alias("k")).filter("k is not null")
+    wide = pairs.withColumn("p", once(prefixes.parsed(F.col("prefix")))).filter("p is not null")
     # only lengths that authorisations have: at most 33 + 129 of them, whatever the number of rows
     lengths = {(r.family, r.len) for r in known.select("k.family", "k.len").distinct().collect()}
     wide = wide.select("origin", "prefix", F.col("p.len").alias("__len"), F.explode(prefixes.ancestors(F.col("p"), lengths)).alias("k"))

@@ -11,7 +11,7 @@ from hopwarden.plans import graph_queries
 from hopwarden.plans.graph_queries import SQL_DAYS, SQL_GRAPH, SQL_VERDICTS, last_day, ribs, today_and_baseline, verdicts, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
-from hopwarden.session import table
+from hopwarden.session import once, table
 
 R = Registry()
 
@@ -65,7 +65,7 @@ def ref_n04_observers(spark: SparkSession, d: str) -> DataFrame:
 def ref_f02_watched_paths(spark: SparkSession, d: str) -> DataFrame:
     """Sightings whose path runs over a link judged suspicious."""
     watched = verdicts(spark, d).filter("verdict = 'sus'").select("as1", "as2").distinct()
-    rows = links_with_hops(spark, d).withColumn("p", paths.collapse(F.col("hops")))
+    rows = links_with_hops(spark, d).withColumn("p", once(paths.collapse(F.col("hops"))))
     return newedge.touching_paths(rows, "id", paths.pairs(F.col("p")), watched)
 
 
@@ -78,7 +78,7 @@ def ref_f02_watched_paths(spark: SparkSession, d: str) -> DataFrame:
 def ref_a03_earliest(spark: SparkSession, d: str) -> DataFrame:
     """Earliest sighting per link and path."""
     rows = links_with_hops(spark, d).select(
-        F.least("asn1", "asn2").alias("as1"), F.greatest("asn1", "asn2").alias("as2"), paths.joined(paths.collapse(F.col("hops"))).alias("path"), "observed_at", "peer_ip", "prefix", "peer_asn"
+        F.least("asn1", "asn2").alias("as1"), F.greatest("asn1", "asn2").alias("as2"), once(paths.joined(paths.collapse(F.col("hops")))).alias("path"), "observed_at", "peer_ip", "prefix", "peer_asn"
     )
     return newedge.earliest_sightings(rows, ["as1", "as2", "path"])
 

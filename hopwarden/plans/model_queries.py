@@ -10,7 +10,7 @@ from hopwarden.operators import features, learning, sampling, topology
 from hopwarden.plans.graph_queries import SQL_GRAPH, ribs, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
-from hopwarden.session import cut_lineage, table
+from hopwarden.session import cut_lineage, once, table
 from hopwarden.sources import registries
 from hopwarden.streaming import live
 
@@ -29,12 +29,12 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = links_with_hops(spark, d).select("id", paths.collapse(F.col("hops")).alias("a")).filter(F.size("a") >= 3)
+    rows = links_with_hops(spark, d).select("id", once(paths.collapse(F.col("hops"))).alias("a")).filter(F.size("a") >= 3)
     return rows.select("id", "a", paths.joined(F.col("a")).alias("path"))
 
 
 def _carried(spark: SparkSession, d: str) -> DataFrame:
-    linked = _paths(spark, d).select("path", F.inline(paths.pairs(F.col("a")))).filter("a <> b")
+    linked = _paths(spark, d).select("path", once(paths.pairs(F.col("a"))).alias("z")).select("path", F.inline("z")).filter("a <> b")
     return linked.select(F.least("a", "b").alias("as1"), F.greatest("a", "b").alias("as2"), "path").distinct()
 
 

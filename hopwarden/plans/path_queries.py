@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hopwarden.functions import dates, paths
 from hopwarden.functions.packed import canonical_path, path_positions
 from hopwarden.plans.registry import Registry
-from hopwarden.session import table
+from hopwarden.session import once, table
 
 R = Registry()
 
@@ -26,7 +26,7 @@ def _collapse_sql(a: str) -> str:
 
 
 def links_with_hops(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "new_link").withColumn("hops", paths.hops(F.col("as_path")))
+    return table(spark, d, "new_link").withColumn("hops", once(paths.hops(F.col("as_path"))))
 
 
 @R.query(f"with t as ({SQL_TOKENS}) select id, array_to_string({_collapse_sql('toks')}, '|') as path from t")
@@ -76,7 +76,8 @@ def ref_p04_clean_path_exclusive(spark: SparkSession, d: str) -> DataFrame:
 )
 def ref_p05_links_of_paths(spark: SparkSession, d: str) -> DataFrame:
     """Links of all paths, sets crossed, both ends in numeric order."""
-    linked = table(spark, d, "new_link").select("id", F.inline(paths.set_pairs(path_positions(F.col("as_path")))))
+    rows = table(spark, d, "new_link").select("id", once(path_positions(F.col("as_path"))).alias("p"))
+    linked = rows.select("id", once(paths.set_pairs(F.col("p"))).alias("z")).select("id", F.inline("z"))
     link = [F.least("a", "b").alias("as1"), F.greatest("a", "b").alias("as2")]
     return (
         linked.filter("a <> b").groupBy(*link).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_paths"))
@@ -92,7 +93,7 @@ def ref_p05_links_of_paths(spark: SparkSession, d: str) -> DataFrame:
 )
 def ref_p07_pruned_path(spark: SparkSession, d: str) -> DataFrame:
     pruned = paths.prune(F.col("p"), F.col("asn1"), F.col("asn2"))
-    return links_with_hops(spark, d).withColumn("p", paths.collapse(F.col("hops"))).select("id", paths.joined(pruned).alias("path"))
+    return links_with_hops(spark, d).withColumn("p", once(paths.collapse(F.col("hops")))).select("id", paths.joined(pruned).alias("path"))
 
 
 @R.query(
@@ -102,8 +103,8 @@ def ref_p07_pruned_path(spark: SparkSession, d: str) -> DataFrame:
 )
 def ref_p09_window(spark: SparkSession, d: str) -> DataFrame:
     """The last six hops with zeros before them, and whether the path has the three hops sampling asks for."""
-    p = paths.collapse(F.col("hops"))
-    return links_with_hops(spark, d).select("id", paths.joined(paths.fixed_window(p)).alias("win"), (F.size(p) >= 3).alias("long_enough"))
+    p = F.col("p")
+    return links_with_hops(spark, d).withColumn("p", once(paths.collapse(F.col("hops")))).select("id", paths.joined(paths.fixed_window(p)).alias("win"), (F.size(p) >= 3).alias("long_enough"))
 
 
 @R.query(
@@ -117,7 +118,7 @@ def ref_p09_window(spark: SparkSession, d: str) -> DataFrame:
 def ref_p11_roles(spark: SparkSession, d: str) -> DataFrame:
     """Hijack type, attacker and victim of every row."""
     p, a, b = F.col("p"), F.col("asn1"), F.col("asn2")
-    rows = links_with_hops(spark, d).withColumn("p", paths.collapse(F.col("hops")))
+    rows = links_with_hops(spark, d).withColumn("p", once(paths.collapse(F.col("hops"))))
     return rows.select(
         "id",
         paths.hijack_type(p, a, b).alias("hijack_type"),

@@ -10,7 +10,7 @@ from hopwarden.operators import accuracy, api, topology, verdict
 from hopwarden.plans.graph_queries import SQL_GRAPH, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
-from hopwarden.session import table
+from hopwarden.session import once, table
 
 R = Registry()
 
@@ -33,7 +33,7 @@ SQL_LINKS = f"""
 
 def sightings(spark: SparkSession, d: str) -> DataFrame:
     rows = links_with_hops(spark, d).filter("asn1 is not null and asn2 is not null")
-    return rows.select("*", F.least("asn1", "asn2").alias("as1"), F.greatest("asn1", "asn2").alias("as2"), paths.collapse(F.col("hops")).alias("path"))
+    return rows.select("*", F.least("asn1", "asn2").alias("as1"), F.greatest("asn1", "asn2").alias("as2"), once(paths.collapse(F.col("hops"))).alias("path"))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:

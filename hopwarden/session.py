@@ -70,6 +70,15 @@ def checkpoint_folder(master: str, named: str | None) -> str:
     return tempfile.mkdtemp(prefix="hopwarden-")
 
 
+def once(c: Column) -> Column:
+    """The column, computed once a row: a generator of one row each, of which a projection can hold one.
+
+    Filters and later projections are merged into the one below and repeat its expressions at each mention; long array
+    expressions then run dozens of times. Nothing is merged into a generator.
+    """
+    return F.explode(F.array(c))
+
+
 def null_safe(*columns: Column) -> list[Column]:
     """Columns to hash: Spark's hashes skip nulls, so each value is preceded by its null flag."""
     return [part for c in columns for part in (c.isNull(), c)]
