@@ -47,14 +47,29 @@ def negative_sample(links: DataFrame, labels: DataFrame, carried: DataFrame, siz
     return chosen.join(carried, ["as1", "as2"]).groupBy("as1", "as2").agg(F.min_by("path", F.md5(F.concat_ws(" ", F.lit(seed), "path"))).alias("path"))
 
 
-def forged_pairs(labels: DataFrame, probabilities: DataFrame, size: int, seed: str = "0") -> DataFrame:
-    """(a, b): pairs of ASes drawn by category pair and, within it, uniformly; four times `size` draws, distinct.
+def forged_links(labels: DataFrame, probabilities: DataFrame, links: DataFrame, registry: DataFrame, origins: DataFrame, size: int, seed: str = "0") -> DataFrame:
+    """positive_sample of forged_pairs, with four times as many draws as long as too few pairs are left of them.
+
+    It is shorter than `size` only if a fourfold number of draws names no more pairs.
+    """
+    draws, before = 4, -1
+    while True:
+        pairs = cut_lineage(forged_pairs(labels, probabilities, size, seed, draws))
+        found = cut_lineage(positive_sample(pairs, links, registry, origins, size, seed))
+        n = pairs.count()
+        if found.count() >= size or n == before:
+            return found
+        draws, before = 4 * draws, n
+
+
+def forged_pairs(labels: DataFrame, probabilities: DataFrame, size: int, seed: str = "0", draws_each: int = 4) -> DataFrame:
+    """(a, b): pairs of ASes drawn by category pair and, within it, uniformly; `draws_each` times `size` draws, distinct.
 
     Nodes are numbered within their label, a draw names a number on each side, so two equality joins find the pair.
     """
     numbered = labels.select("asn", "label", (F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.concat_ws(" ", F.lit(seed), "asn")))) - 1).alias("i"))
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    draws = probabilities.select("c1", "c2", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("p") * 4 * size).cast("int")))).alias("draw"))
+    draws = probabilities.select("c1", "c2", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("p") * draws_each * size).cast("int")))).alias("draw"))
     for side in ("1", "2"):
         picked = F.least(F.floor(uniform(F.lit(seed + side), f"c{side}", "c1", "c2", "draw") * F.col("m")), F.col("m") - 1).cast("int")
         draws = draws.join(sizes.withColumnRenamed("label", f"c{side}"), f"c{side}").withColumn(f"i{side}", picked).drop("m")

@@ -279,21 +279,54 @@ def ref_g19_bridges(spark: SparkSession, d: str) -> DataFrame:
     return graph.on_a_cycle(fresh_links(spark, d), whole_graph(spark, d))
 
 
-@R.query()
+ROUNDS = 20
+
+
+def _rounds_sql(first: str, step: str, last: str) -> str:
+    steps = ", ".join(f"r{i + 1} as materialized ({step.format(r=f'r{i}')})" for i in range(ROUNDS))
+    return f"with {SQL_GRAPH}, n as (select count(*)::double as n from deg), r0 as ({first}), {steps} {last.format(r=f'r{ROUNDS}')}"
+
+
+@R.query(
+    _rounds_sql(
+        "select asn, 1 / n as x from deg, n",
+        "select w.other as asn, 0.15::double / n + 0.85::double * sum(x / degree) as x from near w join {r} on w.asn = {r}.asn join deg on deg.asn = w.asn, n group by w.other, n",
+        "select asn, round(x, 9) as pagerank from {r}",
+    )
+)
 def ref_g13_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(whole_graph(spark, d))
+    return graph.pagerank(whole_graph(spark, d), rounds=ROUNDS).select("asn", F.round("pagerank", 9).alias("pagerank"))
 
 
-@R.query()
+@R.query(
+    _rounds_sql(
+        "select asn, 1::double as x from deg",
+        "select asn, sum(x) as x from (select w.other as asn, x from near w join {r} on w.asn = {r}.asn union all select asn, x from {r}) group by asn",
+        "select asn, round(x / (select sqrt(sum(x * x)) from {r}), 8) as centrality from {r}",
+    )
+)
 def ref_g14_eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return graph.eigenvector_centrality(whole_graph(spark, d))
+    return graph.eigenvector_centrality(whole_graph(spark, d), rounds=ROUNDS).select("asn", F.round("centrality", 8).alias("centrality"))
 
 
-@R.query()
+@R.query(
+    f"""with {SQL_GRAPH}, two as (select a.asn as mid, a.other as u, b.other as v from near a join near b on a.asn = b.asn and a.other < b.other),
+    meets as (select u, v, count(*) - 1 as q from two group by all),
+    x as (select mid, q, greatest(x.degree + y.degree - 2 - q - 2 * (g.as1 is not null)::int, 0) as p from two join meets using (u, v)
+          join deg x on x.asn = u join deg y on y.asn = v left join g on g.as1 = u and g.as2 = v)
+    select deg.asn, round(coalesce(case when sum(p) > 0 then sum(q) / sum(p)::double end, 0), 9) as square_clustering from deg left join x on x.mid = deg.asn group by deg.asn"""
+)
 def ref_g16_square_clustering(spark: SparkSession, d: str) -> DataFrame:
-    return graph.square_clustering(whole_graph(spark, d))
+    return graph.square_clustering(whole_graph(spark, d)).select("asn", F.round("square_clustering", 9).alias("square_clustering"))
 
 
-@R.query()
+@R.query(
+    f"""with recursive {SQL_GRAPH}, adj as materialized (select asn, list(other) as os from near group by asn),
+    c as (select [asn] as ms from adj union all
+          select list_append(ms, o.asn) from (select ms, unnest(os) as nxt from c join adj on adj.asn = ms[len(ms)]) x join adj o on o.asn = nxt
+          where nxt > ms[len(ms)] and list_has_all(o.os, ms)),
+    m as (select ms from c anti join (select distinct ms as bigger from (select ms, unnest(os) as z from c join adj on adj.asn = ms[1]) x join adj o on o.asn = z where list_has_all(o.os, ms)) b on c.ms = b.bigger)
+    select asn, count(*) as number_of_cliques from (select unnest(ms) as asn from m) group by asn"""
+)
 def ref_g15_cliques(spark: SparkSession, d: str) -> DataFrame:
     return graph.number_of_cliques(whole_graph(spark, d))

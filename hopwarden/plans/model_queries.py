@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hopwarden.functions import paths
 from hopwarden.operators import features, learning, sampling, topology
-from hopwarden.plans.graph_queries import SQL_GRAPH, ribs, whole_graph
+from hopwarden.plans.graph_queries import SQL_DAYS, SQL_GRAPH, ribs, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
 from hopwarden.session import cut_lineage, once, table
@@ -56,22 +56,50 @@ def ref_k09_path_index(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("n_paths"))
 
 
-@R.query()
+SQL_SAMPLING = f"""
+    {SQL_GRAPH}, {SQL_LABELS}, tt as ({SQL_TOKENS}), {SQL_PATHS},
+    carried as (select distinct least(z[1], z[2]) as as1, greatest(z[1], z[2]) as as2, path from (select path, unnest(list_zip(a[1:len(a)-1], a[2:])) as z from p) where z[1] <> z[2]),
+    cat as (select g.as1, g.as2, least(x.label, y.label) as c1, greatest(x.label, y.label) as c2 from g join lab x on g.as1 = x.asn join lab y on g.as2 = y.asn)"""
+
+
+@R.query(
+    f"""with recursive {SQL_SAMPLING}, named as (select * from cat semi join carried using (as1, as2)),
+    raw as (select c1, c2, count(*) as n, count(*) / (sum(count(*)) over ())::double as r from named group by all), w as (select c1, c2, r / (sum(r) over ()) / n as w from raw),
+    leaf as (select as1, as2 from g where as1 in (select asn from deg where degree = 1) or as2 in (select asn from deg where degree = 1)),
+    tri as (select distinct g.as1, g.as2 from g join near a on g.as1 = a.asn join near b on g.as2 = b.asn and a.other = b.other),
+    cand as (select as1, as2 from named anti join leaf using (as1, as2) anti join tri using (as1, as2)),
+    bfs as (select as1, as2, as1 as node from cand union select b.as1, b.as2, n.other from bfs b join near n on b.node = n.asn
+      where not (n.asn in (b.as1, b.as2) and n.other in (b.as1, b.as2))),
+    ok as (select as1, as2 from tri union select as1, as2 from bfs where node = as2),
+    drawn as (select as1, as2 from named semi join ok using (as1, as2) join w using (c1, c2) order by -ln({SQL_U.format("'0 ' || as1 || ' ' || as2")}) / w, as1, as2 limit {SAMPLE})
+    select as1, as2, arg_min(path, md5('0 ' || path)) as path from drawn join carried using (as1, as2) group by all"""
+)
 def ref_k03_negative_sample(spark: SparkSession, d: str) -> DataFrame:
     """Existing links by category, no bridges, each with a path."""
     return sampling.negative_sample(whole_graph(spark, d), _labels(spark, d), _carried(spark, d), SAMPLE)
 
 
-@R.query()
+@R.query(
+    f"""with {SQL_DAYS}, {SQL_SAMPLING}, raw as (select c1, c2, pow(count(*) / (sum(count(*)) over ())::double, 0.75) as r from cat group by all), pr as (select c1, c2, r / (sum(r) over ()) as p from raw),
+    num as (select asn, label, row_number() over (partition by label order by md5('0 ' || asn)) - 1 as i from lab), sz as (select label, count(*) as m from lab group by label),
+    dr as (select c1, c2, unnest(range(1, greatest(1, ceil(p * 4 * {SAMPLE}))::bigint + 1)) as draw from pr),
+    ix as (select least(floor({SQL_U.format("'01 ' || c1 || ' ' || c1 || ' ' || c2 || ' ' || draw")} * x.m), x.m - 1)::bigint as i1, least(floor({SQL_U.format("'02 ' || c2 || ' ' || c1 || ' ' || c2 || ' ' || draw")} * y.m), y.m - 1)::bigint as i2, c1, c2
+           from dr join sz x on x.label = c1 join sz y on y.label = c2),
+    fp as (select distinct least(x.asn, y.asn) as as1, greatest(x.asn, y.asn) as as2 from ix join num x on x.label = c1 and x.i = i1 join num y on y.label = c2 and y.i = i2 where x.asn <> y.asn),
+    st as (select a[len(a)] as origin, arg_min(path, md5('0 ' || path)) as path from p group by all),
+    bo as (select fp.as1, fp.as2, x.path as px, y.path as py, x.path is not null and (y.path is null or fp.as1::varchar < fp.as2::varchar) as f
+           from fp anti join g on fp.as1 = g.as1 and fp.as2 = g.as2 left join st x on x.origin = fp.as1 left join st y on y.origin = fp.as2 where x.path is not null or y.path is not null)
+    select as1, as2, if(f, as1, as2) as attacker, if(f, as2, as1) as victim, if(f, px, py) || ' ' || if(f, as2, as1) as path from bo
+    order by {SQL_U.format("'0 ' || as1 || ' ' || as2")}, as1, as2 limit {SAMPLE}"""
+)
 def ref_k04_positive_sample(spark: SparkSession, d: str) -> DataFrame:
     """Forged links by category pair."""
     graph, labels = whole_graph(spark, d), _labels(spark, d)
     counts = sampling.categories(graph, labels).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     probabilities = features.category_probability(counts, 0.75).select("c1", "c2", "p")
-    pairs = sampling.forged_pairs(labels, probabilities, SAMPLE)
     origins = _paths(spark, d).select(paths.victim(F.col("a")).alias("origin"), "path")
     registry = topology.undirected(ribs(spark, d))
-    return sampling.positive_sample(pairs, graph, registry, origins, SAMPLE)
+    return sampling.forged_links(labels, probabilities, graph, registry, origins, SAMPLE)
 
 
 @R.query()
