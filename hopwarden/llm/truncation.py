@@ -6,14 +6,18 @@ each text the model gives the log-odds of an end against a continuation, interpo
 Cues that end in a name no other text has (credits) are judged by a second context: how the cue begins, the number of
 its words and the kind of its last character.
 
-Contexts are hashed. Only those that some text ends with are counted: a first pass marks them in a bitmap of fixed
-size, a second pass counts them, and as every suffix of an end context is an end context too, longer contexts are
-looked at only where the shorter one was marked. All counting is vectorised over blocks of characters.
+Contexts are hashed. Only those that some text ends with are counted: a first pass writes the end contexts of each text
+and what else is asked of it, a second pass counts them. A bitmap tells the second pass which contexts are asked for; as
+every suffix of an end context is an end context too, longer contexts are looked at only where the shorter one was marked.
+The bitmap has BITS_A_KEY bits for each distinct context at least. Where that is more than MAX_BITS, places are divided by
+their last three characters into parts with a bitmap and a pass each, so a task's bitmap is bounded and stays as selective
+however many texts there are. All counting is vectorised over blocks of characters.
 
 Texts that end at a length far more frequent in their source than its neighbours (a field limit) get no benefit of the
 doubt from the second context. An ellipsis at the end is taken off unless the model knows it there: limits are often
-marked by one. The threshold on the log-odds is set per language and kind of text at the emptiest place between the two
-modes.
+marked by one. The threshold on the log-odds is learned for the column judged, per language and kind of text, at the
+emptiest place between the two modes; a group's own texts are joined by PRIOR_TEXTS of all texts of the kind, so small
+groups lean on those and large ones on their own.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ WEIGHTS = {3: 2, 4: 2, 6: 8, 8: 8, 10: 8, 12: 8, 16: 8}
 ANCHOR = 0  # the order number of the second context
 ANCHOR_LENGTH = 8
 KNOWN = 20  # an ellipsis belongs to the text if its context of order 8 was met this often
-DEFAULT_THRESHOLD = -3.0
+#: Weight of all texts of a kind in the threshold of a language, in texts.
+PRIOR_TEXTS = 500
 #: The threshold for texts that have the length of a limit of their source: these need less evidence.
 LIMIT_THRESHOLD = -1.0
 #: The second context cannot overrule log-odds below this.
@@ -44,7 +49,9 @@ TRUSTED_FROM = -13.0
 BLOCK = 400_000
 #: Places for contexts of their own in a counting task (a power of two).
 SLOTS = 1 << 20
+#: Bits of the bitmap a task gets (32 MB), and bits for each context asked for.
 MAX_BITS = 1 << 28
+BITS_A_KEY = 8
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(17)]
@@ -146,14 +153,17 @@ def _blocks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield at, held
 
 
-_ENDS = "doc_id bigint, variant int, style boolean, orders array<int>, keys array<bigint>"
+_ENDS = "doc_id bigint, variant int, style boolean, short bigint, orders array<int>, keys array<bigint>"
+_PART_SHIFT = 40  # the bits of a hash that tell the part of a context
 
 
 def _end_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text (and per text without its closing ellipsis) the keys of its end contexts."""
+    """Per text (and per text without its closing ellipsis) the keys of its end contexts; further columns go along."""
     for batch in batches:
+        more = batch.schema.names[2:]
+        rows_of: list[int] = []
         ids, variants, texts, styles = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             s = normal(text)
             style = unpunctuated(s)
             forms = [s]
@@ -161,6 +171,7 @@ def _end_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 forms.append(_DOTS.sub("", s))
             for v, form in enumerate(forms):
                 ids.append(doc)
+                rows_of.append(row)
                 variants.append(v)
                 texts.append(form)
                 styles.append(style)
@@ -182,16 +193,21 @@ def _end_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array([ids[i] for i in at], pa.int64()),
                     pa.array([variants[i] for i in at], pa.int32()),
                     pa.array([styles[i] for i in at], pa.bool_()),
+                    pa.array((_mixed(block.short[block.last]) >> np.uint64(_PART_SHIFT)).astype(np.int64)),
                     pa.array(orders, pa.list_(pa.int32())),
                     pa.array(rows, pa.list_(pa.int64())),
+                    *[batch.column(c).take(pa.array([rows_of[i] for i in at], pa.int64())) for c in more],
                 ],
-                ["doc_id", "variant", "style", "orders", "keys"],
+                ["doc_id", "variant", "style", "short", "orders", "keys", *more],
             )
 
 
-def _counter(shared, bits: int):
+def _counter(shared, bits: int, part: int = 0, parts: int = 1):
     mask = np.uint64(bits - 1)
 
+    def mine(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(_PART_SHIFT)) & np.uint64(parts - 1) == np.uint64(part)
+
     def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
         at = keys & mask
         return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
@@ -224,6 +240,9 @@ def _counter(shared, bits: int):
             for _, some in _blocks(texts):
                 block = _Block(some, [unpunctuated(s) for s in some])
                 base = np.flatnonzero((block.a > 32) & (block.a != 160) & (block.next != _END) | (block.a == _TEXT_NEXT))
+                ends = base[(block.next[base] == 32) | (block.next[base] == _CUE)]
+                if parts > 1:
+                    base = base[mine(_mixed(block.short[base]))]
                 ended = block.ended(base)
                 at, found = base, []
                 walk = block.contexts(at)
@@ -236,9 +255,8 @@ def _counter(shared, bits: int):
                         step = walk.send(keep) if len(keep) else None
                     except StopIteration:
                         step = None
-                ends = base[(block.next[base] == 32) | (block.next[base] == _CUE)]
                 keys, there = block.anchors(ends)
-                keep = np.flatnonzero(there & marked(bitmap, keys))
+                keep = np.flatnonzero(there & mine(keys) & marked(bitmap, keys))
                 found.append((keys[keep], block.ended(ends[keep])))
                 count(np.concatenate([k for k, _ in found]), np.concatenate([e for _, e in found]))
                 if sum(len(k) for k, _, _ in held) > 1_500_000:
@@ -256,12 +274,21 @@ def _counts(t: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(t[0].view(np.int64)), pa.array(t[1]), pa.array(t[2])], ["key", "n", "ended"])
 
 
-def _bitmap(ends: DataFrame, docs: int):
-    """The end contexts of all texts as one bitmap: its size is fixed by MAX_BITS, whatever the number of texts."""
-    bits = min(MAX_BITS, max(1 << 16, 1 << (320 * docs).bit_length()))
+def _size(ends: DataFrame) -> tuple[int, int]:
+    """(bits of a bitmap, number of parts) for the distinct end contexts of all texts."""
+    distinct = ends.select(F.explode("keys").alias("k")).agg(F.approx_count_distinct("k", 0.02)).first()[0]
+    parts = 1 << max(0, (distinct * BITS_A_KEY - 1) // MAX_BITS).bit_length()
+    return min(MAX_BITS, max(1 << 16, 1 << (4 * BITS_A_KEY * distinct // parts).bit_length())), parts
+
+
+def _bitmap(ends: DataFrame, bits: int, part: int, parts: int):
+    """The end contexts of a part as one bitmap of at most MAX_BITS, whatever the number of texts."""
     bit = F.expr(f"k & {bits - 1}L")
+    own = F.when(F.col("o") == ANCHOR, F.shiftrightunsigned("k", _PART_SHIFT)).otherwise(F.col("short"))
     words = (
-        ends.select(F.explode("keys").alias("k"))
+        ends.select("short", F.explode(F.arrays_zip("orders", "keys")).alias("x"))
+        .select("short", F.col("x.orders").alias("o"), F.col("x.keys").alias("k"))
+        .filter(own.bitwiseAND(F.lit(parts - 1).cast("bigint")) == part)
         .select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
@@ -269,17 +296,26 @@ def _bitmap(ends: DataFrame, docs: int):
     found = words.toArrow()
     bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    return ends.sparkSession.sparkContext.broadcast(bitmap.tobytes()), bits
+    return ends.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
 
+def end_contexts(documents: DataFrame) -> DataFrame:
+    """What the first pass writes of each text: its end contexts and the columns of documents after doc_id and text."""
+    kinds = "".join(f", {name} {kind}" for name, kind in documents.dtypes[2:])
+    return cut_lineage(documents.mapInArrow(_end_contexts, _ENDS + kinds))
 
-def scores(documents: DataFrame) -> DataFrame:
+
+def scores(documents: DataFrame, ends: DataFrame) -> DataFrame:
     """(doc_id, variant, style, suffix, anchor, known) per text: log-odds of an end by both contexts.
 
-    documents: (doc_id, text) with no null or blank text. variant 1 is the text without its closing ellipsis.
+    documents: (text) with no null or blank text; ends: their end contexts. variant 1 is the text without its closing ellipsis.
     """
-    ends = cut_lineage(documents.mapInArrow(_end_contexts, _ENDS))
-    shared, bits = _bitmap(ends, documents.count())
-    counted = documents.select("text").mapInArrow(_counter(shared, bits), "key bigint, n bigint, ended bigint")
+    bits, parts = _size(ends)
+    counted = None
+    for part in range(parts):
+        run = _counter(_bitmap(ends, bits, part, parts), bits, part, parts)
+        one = documents.select("text").mapInArrow(run, "key bigint, n bigint, ended bigint")
+        counted = one if counted is None else counted.unionByName(one)
     model = cut_lineage(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended")))
     asked = ends.select("doc_id", "variant", "style", F.explode(F.arrays_zip("orders", "keys")).alias("x")).select(
         "doc_id", "variant", "style", F.col("x.orders").alias("order"), F.col("x.keys").alias("key")
@@ -309,18 +345,20 @@ def scores(documents: DataFrame) -> DataFrame:
 
 def _measures() -> Column:
     return F.array(
-        F.struct(F.lit("chars").alias("measure"), F.length("text").alias("length")),
-        F.struct(F.lit("bytes").alias("measure"), F.octet_length("text").alias("length")),
+        F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")),
+        F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length")),
     )
 
 
-def length_limits(documents: DataFrame) -> DataFrame:
+def length_limits(facts: DataFrame) -> DataFrame:
     """(source, measure, length): lengths, in characters or bytes, that distinct texts of a source have far too often.
 
+    facts: (source, text_hash, n_chars, n_bytes) per text.
+
     At least 8 texts, half a percent of the source's and five times the mean of the 50 lengths around. So there are at
     most 200 a source and measure.
     """
-    lengths = documents.select("source", F.xxhash64("text").alias("h"), F.inline(_measures())).distinct()
+    lengths = facts.select("source", "text_hash", F.inline(_measures())).distinct()
     n = lengths.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("source", "measure")
     around = by.orderBy("length").rangeBetween(-25, 25)
@@ -334,22 +372,32 @@ def language(lang: Column) -> Column:
     return F.coalesce(F.lower(F.substring(lang, 1, 2)), F.lit(""))
 
 
-def judged(documents: DataFrame) -> DataFrame:
+def judged(documents: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, source, log_odds, threshold, cut) for every text that is not null or blank.
 
-    documents: doc_id (unique), text, lang, source; other columns play no part. Texts whose end nothing else shares
+    documents: doc_id (unique), the text column, lang, source; other columns play no part. Texts whose end nothing else shares
     score by the prior. Re-uploads of one text are judged alike. Empty input: no rows.
     """
-    texts = documents.select("doc_id", "text", "lang", "source").filter(F.col("text").rlike(r"[^\s\p{Z}]"))
-    found = scores(texts.select("doc_id", "text"))
-    limits = F.broadcast(length_limits(texts.select("source", "text")).filter("source is not null"))
+    texts = documents.filter(F.col(column).rlike(r"[^\s\p{Z}]")).select(
+        "doc_id",
+        F.col(column).alias("text"),
+        "source",
+        language(F.col("lang")).alias("language"),
+        F.length(column).alias("n_chars"),
+        F.octet_length(column).alias("n_bytes"),
+        F.xxhash64(column).alias("text_hash"),
+    )
+    ends = end_contexts(texts)
+    found = scores(texts.select("text"), ends)
+    facts = ends.filter("variant = 0").select("doc_id", "source", "language", "n_chars", "n_bytes", "text_hash")
+    limits = length_limits(facts.filter("source is not null"))
     at_limit = (
-        texts.select("doc_id", "source", F.inline(_measures()))
+        facts.select("doc_id", "source", F.inline(_measures()))
         .join(limits, ["source", "measure", "length"], "left_semi")
         .select("doc_id", F.lit(True).alias("at_limit"))
         .distinct()
     )
-    facts = texts.select("doc_id", "source", language(F.col("lang")).alias("language")).join(at_limit, "doc_id", "left")
+    facts = facts.select("doc_id", "source", "language").join(at_limit, "doc_id", "left")
     trusted = F.col("at_limit").isNull() & (F.col("anchor") > 1.5) & (F.col("suffix") > TRUSTED_FROM)
     each = found.join(facts, "doc_id").withColumn(
         "log_odds", F.when(trusted, F.greatest("anchor", "suffix")).otherwise(F.col("suffix"))
@@ -367,14 +415,15 @@ def judged(documents: DataFrame) -> DataFrame:
     one = cut_lineage(one)
     return (
         one.join(F.broadcast(_thresholds(one)), ["language", "style"], "left")
-        .withColumn("threshold", F.when(F.col("at_limit"), LIMIT_THRESHOLD).otherwise(F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))))
+        .withColumn("threshold", F.when(F.col("at_limit"), LIMIT_THRESHOLD).otherwise(F.col("threshold")))
         .select("doc_id", "source", "language", "style", "log_odds", "threshold", (F.col("log_odds") < F.col("threshold")).alias("cut"))
     )
 
 
 def _thresholds(one: DataFrame) -> DataFrame:
-    """Per language and kind of text with at least 500 texts: the emptiest half unit of log-odds in [-6, -2].
+    """Per language and kind of text: the emptiest half unit of log-odds in [-6, -2], ties nearest to -3.
 
+    The counts of a group are added to PRIOR_TEXTS times the shares among all texts of its kind.
     Languages are two letters, so there are fewer than 70 000 of them however many texts.
     """
     bins = one.select("language", "style", F.floor(F.col("log_odds") * 2).cast("int").alias("b"))
@@ -383,7 +432,9 @@ def _thresholds(one: DataFrame) -> DataFrame:
     )
     order = sorted(range(-12, -4), key=lambda b: (abs(b + 6.5), b))
     best = F.array_min(F.array(*[F.struct(F.col(f"b{-b}").alias("n"), F.lit(i).alias("i"), F.lit(b / 2 + 0.25).alias("t")) for i, b in enumerate(order)]))
-    return n.filter("n >= 500").select("language", "style", best["t"].alias("threshold"))
+    of_kind = Window.partitionBy("style")  # one row per language
+    smooth = n.select("language", "style", *[(F.col(f"b{-b}") + PRIOR_TEXTS * F.sum(f"b{-b}").over(of_kind) / F.sum("n").over(of_kind)).alias(f"b{-b}") for b in range(-12, -4)])
+    return smooth.select("language", "style", best["t"].alias("threshold"))
 
 
 def truncation_report(documents: DataFrame) -> DataFrame:

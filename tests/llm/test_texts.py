@@ -124,6 +124,19 @@ def test_truncation(spark):
     assert truncation.judged(df.limit(0)).count() == 0
 
 
+def test_truncation_in_parts(spark, monkeypatch):
+    """Bitmaps far smaller than the end contexts need: several parts, the same scores."""
+    rng = random.Random(9)
+    docs = [(i, subtitles(rng, rng.randint(2, 9))[: rng.choice([None, -7])]) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ends = truncation.end_contexts(df)
+    got = lambda: sorted((r.doc_id, r.variant, round(r.suffix, 9), r.anchor and round(r.anchor, 9), r.known) for r in truncation.scores(df, ends).collect())
+    whole, parts = got(), truncation._size(ends)[1]
+    monkeypatch.setattr(truncation, "MAX_BITS", 1 << 10)
+    assert parts == 1 and truncation._size(ends)[1] >= 4 and truncation._size(ends)[0] <= 1 << 10
+    assert got() == whole
+
+
 def test_truncation_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 300_000, "en", "s"), (2, "A full sentence.", None, None)], "doc_id bigint, text string, lang string, source string")
     assert truncation.judged(df).count() == 2
