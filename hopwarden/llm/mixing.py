@@ -73,7 +73,8 @@ def land(sizes: list[float], p: list[float]) -> list[int]:
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per named source: weight, max_repeats, n_docs, n_tokens, target_share, repeats (average copies of a document).
+    """Per named source: weight, max_repeats, n_docs, n_tokens, target_share, reachable_share, repeats (average copies of a
+    document) and binds: whether its cap is the one that limits the total of all.
 
     sizes: (source, n_tokens), one row per document. A source named twice counts with its summed weight and least cap.
     Sources without tokens cannot contribute; the others share their weight in proportion (target_share keeps the
@@ -99,6 +100,8 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         "n_docs",
         "n_tokens",
         (F.col("weight") / F.col("__all")).alias("target_share"),
+        F.coalesce(F.when(usable, F.col("weight")) / F.sum(F.when(usable, F.col("weight"))).over(every), F.lit(0.0)).alias("reachable_share"),
+        F.coalesce(limit <= F.col("__scale"), F.lit(False)).alias("binds"),
         F.when(usable, F.least(F.col("max_repeats").cast("double"), F.col("__scale") * F.col("weight") / F.col("n_tokens")))
         .otherwise(0.0)
         .alias("repeats"),
@@ -154,6 +157,8 @@ def shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.select(
         "source",
         "target_share",
+        "reachable_share",
+        "binds",
         "max_repeats",
         "n_docs",
         "n_tokens",

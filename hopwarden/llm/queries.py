@@ -169,6 +169,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, targets), sizes, targets)
 
 
+@R.query(
+    """with w as (select source, sum(weight) as weight, min(max_repeats) as max_repeats from mix_target where source is not null group by source),
+      n as (select source, count(*) as n_docs from documents where text <> '' group by source)
+    select w.source, round(weight / sum(weight) over (), 6) as target_share, max_repeats, coalesce(n_docs, 0) as n_docs,
+      round(case when n_docs > 0 and weight > 0 and max_repeats > 0 then weight / sum(case when n_docs > 0 and weight > 0 and max_repeats > 0 then weight end) over () else 0 end, 6) as reachable_share
+    from w left join n on w.source = n.source"""
+)
+def p8_wishes(spark: SparkSession, d: str) -> DataFrame:
+    """Per named source the share asked for, its cap and documents, and the share it can have beside the sources without documents."""
+    wishes = mixing.plan(_token_sizes(spark, d), table(spark, d, "mix_target"))
+    return wishes.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", "n_docs", F.round("reachable_share", 6).alias("reachable_share"))
+
+
 @R.query()
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents")).filter("cut").select("doc_id")
