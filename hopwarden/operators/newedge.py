@@ -33,6 +33,11 @@ def quarantined(ledger_: DataFrame, day: date | Column) -> DataFrame:
     return ledger_.filter(F.datediff(F.lit(day), F.col("since")) <= QUARANTINE_DAYS)
 
 
+def of_active_observers(links: DataFrame, observers: DataFrame) -> DataFrame:
+    """Links (..., vp_ip) of the observers (vp_ip, is_active) that are active; a link without an observer has none."""
+    return links.join(observers.filter("is_active").select("vp_ip").distinct(), "vp_ip", "left_semi")
+
+
 def choose_observers(links: DataFrame, wanted: int = OBSERVERS) -> DataFrame:
     """(vp_ip): observers to ask so that each link is covered by `wanted` of them, or by all it has.
 

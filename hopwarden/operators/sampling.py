@@ -103,6 +103,11 @@ def balanced_sample(named: DataFrame, per_category: int = 100, seed: str = "0")
     return named.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_category).drop("__r")
 
 
+def clusterable(nodes: DataFrame, top: list[int]) -> DataFrame:
+    """Nodes (asn, degree, cone) without those of `top` and those with a cone above LARGE_CONE."""
+    return nodes.filter(~F.col("asn").isin(top) & (F.col("cone") <= LARGE_CONE))
+
+
 def cluster_ases(nodes: DataFrame, top: list[int] | None = None, seed: int = 1) -> DataFrame:
     """(asn, label): k-means on (degree, cone), from k = FIRST_K down until every cluster has LEAST_MEMBERS members.
 
@@ -110,7 +115,7 @@ def cluster_ases(nodes: DataFrame, top: list[int] | None = None, seed: int = 1)
     clusters. Fewer ASes than members wanted: one cluster.
     """
     top = top or []
-    small = nodes.filter(~F.col("asn").isin(top) & (F.col("cone") <= LARGE_CONE))
+    small = clusterable(nodes, top)
     ready = VectorAssembler(inputCols=["degree", "cone"], outputCol="x").transform(small).persist()
     k = max(1, min(FIRST_K, small.count() // LEAST_MEMBERS))
     while True:

@@ -43,6 +43,14 @@ def monthly_union(updates: DataFrame, ribs: DataFrame, day: date) -> DataFrame:
     return both.filter("as1 <> as2").distinct()
 
 
+def directed_union(*links: DataFrame) -> DataFrame:
+    """Distinct directed (as1, as2) of all the frames, self-links left out."""
+    out = links[0].select("as1", "as2")
+    for other in links[1:]:
+        out = out.unionByName(other.select("as1", "as2"))
+    return out.filter("as1 <> as2").distinct()
+
+
 def neighbours(links: DataFrame) -> DataFrame:
     """(asn, other): every undirected link from both its ends."""
     ends = F.array(F.struct(F.col("as1").alias("asn"), F.col("as2").alias("other")), F.struct(F.col("as2").alias("asn"), F.col("as1").alias("other")))

@@ -11,7 +11,6 @@ from hopwarden.plans.graph_queries import SQL_DAYS, SQL_GRAPH, ribs, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
 from hopwarden.session import cut_lineage, once, table
-from hopwarden.sources import registries
 from hopwarden.streaming import live
 
 R = Registry()
@@ -33,8 +32,18 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "a", paths.joined(F.col("a")).alias("path"))
 
 
-def _carried(spark: SparkSession, d: str) -> DataFrame:
-    linked = _paths(spark, d).select("path", once(paths.pairs(F.col("a"))).alias("z")).select("path", F.inline("z")).filter("a <> b")
+def newest(spark: SparkSession, d: str, t: str, day: str = "snapshot_day") -> DataFrame:
+    """The rows of a table's newest snapshot."""
+    rows = table(spark, d, t)
+    return rows.join(F.broadcast(rows.agg(F.max(day).alias(day))), day)
+
+
+def newest_cones(spark: SparkSession, d: str) -> DataFrame:
+    return newest(spark, d, "as_cone", "cone_month").select("asn", "cone")
+
+
+def _carried(spark: SparkSession, d: str, longer_than: int = 0) -> DataFrame:
+    linked = _paths(spark, d).filter(F.size("a") > longer_than).select("path", once(paths.pairs(F.col("a"))).alias("z")).select("path", F.inline("z")).filter("a <> b")
     return linked.select(F.least("a", "b").alias("as1"), F.greatest("a", "b").alias("as2"), "path").distinct()
 
 
@@ -62,8 +71,7 @@ SQL_SAMPLING = f"""
     cat as (select g.as1, g.as2, least(x.label, y.label) as c1, greatest(x.label, y.label) as c2 from g join lab x on g.as1 = x.asn join lab y on g.as2 = y.asn)"""
 
 
-@R.query(
-    f"""with recursive {SQL_SAMPLING}, named as (select * from cat semi join carried using (as1, as2)),
+NEGATIVE_SQL = f"""with recursive {SQL_SAMPLING}, named as (select * from cat semi join carried using (as1, as2)),
     raw as (select c1, c2, count(*) as n, count(*) / (sum(count(*)) over ())::double as r from named group by all), w as (select c1, c2, r / (sum(r) over ()) / n as w from raw),
     leaf as (select as1, as2 from g where as1 in (select asn from deg where degree = 1) or as2 in (select asn from deg where degree = 1)),
     tri as (select distinct g.as1, g.as2 from g join near a on g.as1 = a.asn join near b on g.as2 = b.asn and a.other = b.other),
@@ -73,14 +81,15 @@ SQL_SAMPLING = f"""
     ok as (select as1, as2 from tri union select as1, as2 from bfs where node = as2),
     drawn as (select as1, as2 from named semi join ok using (as1, as2) join w using (c1, c2) order by -ln({SQL_U.format("'0 ' || as1 || ' ' || as2")}) / w, as1, as2 limit {SAMPLE})
     select as1, as2, arg_min(path, md5('0 ' || path)) as path from drawn join carried using (as1, as2) group by all"""
-)
+
+
+@R.query(NEGATIVE_SQL)
 def ref_k03_negative_sample(spark: SparkSession, d: str) -> DataFrame:
     """Existing links by category, no bridges, each with a path."""
     return sampling.negative_sample(whole_graph(spark, d), _labels(spark, d), _carried(spark, d), SAMPLE)
 
 
-@R.query(
-    f"""with {SQL_DAYS}, {SQL_SAMPLING}, raw as (select c1, c2, pow(count(*) / (sum(count(*)) over ())::double, 0.75) as r from cat group by all), pr as (select c1, c2, r / (sum(r) over ()) as p from raw),
+POSITIVE_SQL = f"""with {SQL_DAYS}, {SQL_SAMPLING}, raw as (select c1, c2, pow(count(*) / (sum(count(*)) over ())::double, 0.75) as r from cat group by all), pr as (select c1, c2, r / (sum(r) over ()) as p from raw),
     num as (select asn, label, row_number() over (partition by label order by md5('0 ' || asn)) - 1 as i from lab), sz as (select label, count(*) as m from lab group by label),
     dr as (select c1, c2, unnest(range(1, greatest(1, ceil(p * 4 * {SAMPLE}))::bigint + 1)) as draw from pr),
     ix as (select least(floor({SQL_U.format("'01 ' || c1 || ' ' || c1 || ' ' || c2 || ' ' || draw")} * x.m), x.m - 1)::bigint as i1, least(floor({SQL_U.format("'02 ' || c2 || ' ' || c1 || ' ' || c2 || ' ' || draw")} * y.m), y.m - 1)::bigint as i2, c1, c2
@@ -91,7 +100,9 @@ def ref_k03_negative_sample(spark: SparkSession, d: str) -> DataFrame:
            from fp anti join g on fp.as1 = g.as1 and fp.as2 = g.as2 left join st x on x.origin = fp.as1 left join st y on y.origin = fp.as2 where x.path is not null or y.path is not null)
     select as1, as2, if(f, as1, as2) as attacker, if(f, as2, as1) as victim, if(f, px, py) || ' ' || if(f, as2, as1) as path from bo
     order by {SQL_U.format("'0 ' || as1 || ' ' || as2")}, as1, as2 limit {SAMPLE}"""
-)
+
+
+@R.query(POSITIVE_SQL)
 def ref_k04_positive_sample(spark: SparkSession, d: str) -> DataFrame:
     """Forged links by category pair."""
     graph, labels = whole_graph(spark, d), _labels(spark, d)
@@ -105,9 +116,7 @@ def ref_k04_positive_sample(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def ref_k01_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of ASes by degree and cone."""
-    cones = table(spark, d, "as_cone")
-    newest = cones.join(F.broadcast(cones.agg(F.max("cone_month").alias("cone_month"))), "cone_month").select("asn", "cone")
-    return sampling.cluster_ases(topology.degree_and_cone(whole_graph(spark, d), ribs(spark, d).select("as1", "as2"), newest))
+    return sampling.cluster_ases(topology.degree_and_cone(whole_graph(spark, d), ribs(spark, d).select("as1", "as2"), newest_cones(spark, d)))
 
 
 FEATURES = ["degree_as1", "degree_as2", "num_paths", "num_susp_inf", "nb_vps"]
@@ -142,9 +151,7 @@ def ref_m07_evaluation(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def ref_c04_path_scores(spark: SparkSession, d: str) -> DataFrame:
     """Path forests trained on the forged and existing samples, applied to the paths of all sightings."""
-    cones = table(spark, d, "as_cone")
-    newest = cones.join(F.broadcast(cones.agg(F.max("cone_month").alias("cone_month"))), "cone_month").select("asn", "cone")
-    metrics = {"degree": topology.degrees(whole_graph(spark, d)), "cone": newest}
+    metrics = {"degree": topology.degrees(whole_graph(spark, d)), "cone": newest_cones(spark, d)}
     sets = {m: [f"{m}_{i}" for i in range(1, 7)] for m in metrics}
     sets["cone&degree"] = sets["cone"] + sets["degree"]
     forged, real = (f(spark, d).select("as1", "as2", "path", F.lit(label).alias("label")) for f, label in ((ref_k04_positive_sample, 1), (ref_k03_negative_sample, 0)))
@@ -195,23 +202,3 @@ def ref_w02_flattened(spark: SparkSession, d: str) -> DataFrame:
     )
     packed = table(spark, d, "updates_links").filter("vp_ip is not null and as1 is not null and as2 is not null").select(message.alias("value"))
     return live.flatten_messages(packed).drop("ts")
-
-
-POLICY = """as-set: AS-FOO
-members: AS1, AS2,
-  AS-BAR
-
-as-set: AS-BAR
-members: AS3, AS-FOO
-
-aut-num: AS10
-import: from AS20 accept ANY
-export: to AS30 announce AS-FOO
-export: to AS-FOO announce AS10
-mp-export: to AS-ANY announce AS10"""
-
-
-@R.query("select * from (values (10::bigint, 20::bigint), (10, 30), (10, 1), (10, 2), (10, 3)) t(src, dst)")
-def ref_p25_policy_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of routing-policy objects with nested, cyclic sets."""
-    return registries.policy_links(spark.createDataFrame([(x,) for x in POLICY.split("\n\n")], "value string"))

@@ -167,8 +167,18 @@ def test_new_links_and_quarantine(spark):
 
 
 def test_registry(spark):
-    from hopwarden.plans.model_queries import POLICY
-
+    POLICY = """as-set: AS-FOO
+members: AS1, AS2,
+  AS-BAR
+
+as-set: AS-BAR
+members: AS3, AS-FOO
+
+aut-num: AS10
+import: from AS20 accept ANY
+export: to AS30 announce AS-FOO
+export: to AS-FOO announce AS10
+mp-export: to AS-ANY announce AS10"""
     objects = spark.createDataFrame([(x,) for x in POLICY.split("\n\n")], "value string")
     assert sorted(tuple(r) for r in registries.policy_links(objects).collect()) == [(10, 1), (10, 2), (10, 3), (10, 20), (10, 30)]
 
