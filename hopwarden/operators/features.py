@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopwarden.functions.paths import WINDOW, collapse, fixed_window
+from hopwarden.operators.skew import attach
 from hopwarden.operators.topology import day_counts, neighbours
 from hopwarden.session import cut_lineage, once
 
@@ -77,8 +78,8 @@ def relative_metrics(paths: DataFrame, id_column: str, path: str, metrics: dict[
     of (asn, <name>), one row per AS. Paths of fewer than two hops have no steps.
     """
     known = paths.select(id_column, F.posexplode(path).alias("pos", "asn"))
-    for name, m in metrics.items():
-        known = known.join(m.select("asn", F.col(name)), "asn", "left").withColumn(name, F.coalesce(name, F.lit(1).cast("bigint")))
+    every = reduce(lambda a, b: a.join(b, "asn", "full_outer"), [m.select("asn", F.col(name)) for name, m in metrics.items()])
+    known = attach(known, every.filter("asn is not null"), "asn", 16 * (1 + len(metrics)), "left").fillna(1, list(metrics))
     ordered = known.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("pos", *metrics))).alias("__ms"))
     full, empty = paths.select(id_column).join(ordered, id_column, "left"), F.array().cast("array<bigint>")
 

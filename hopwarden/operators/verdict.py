@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwarden.functions import paths, prefixes
+from hopwarden.operators.skew import attach
 from hopwarden.session import once
 
 LINK = ["as1", "as2"]
@@ -61,8 +62,9 @@ def origin_validity(announced: DataFrame, roas: DataFrame, rfc6811: bool = False
 
     Default: if an authorisation for exactly the prefix exists, valid means that one of them names the origin; else any
     covering one may. Nothing found is invalid, maximal lengths play no part. With rfc6811 a covering authorisation of
-    the origin must also allow the length. A prefix is joined to all its shorter ones by equality, so no ranges are
-    compared; prefixes that cannot be read have valid false.
+    the origin must also allow the length. A prefix meets its shorter ones by equality, so no ranges are compared; the
+    authorisations of a prefix are one row, broadcast up to a counted size, else looked up with hot ones split. Prefixes that
+    cannot be read have valid false.
     """
     pairs = announced.filter("origin is not null and prefix is not null").select("origin", "prefix").distinct()
     known = roas.select(F.col("asn").alias("__asn"), "max_length", once(prefixes.parsed(F.col("prefix"))).alias("k")).filter("k is not null")
@@ -70,12 +72,16 @@ def origin_validity(announced: DataFrame, roas: DataFrame, rfc6811: bool = False
     # only lengths that authorisations have: at most 33 + 129 of them, whatever the number of rows
     lengths = {(r.family, r.len) for r in known.select("k.family", "k.len").distinct().collect()}
     wide = wide.select("origin", "prefix", F.col("p.len").alias("__len"), F.explode(prefixes.ancestors(F.col("p"), lengths)).alias("k"))
-    key = lambda df: df.select("*", "k.*").drop("k")
-    met = key(wide).join(key(known), ["family", "high", "low", "len"])
-    own, exact = F.col("__asn") == F.col("origin"), F.col("len") == F.col("__len")
-    allowed = F.coalesce("max_length", F.col("len")) >= F.col("__len")
+    of_prefix = known.groupBy("k").agg(F.collect_set(F.struct(F.col("__asn").alias("asn"), "max_length")).alias("roas"))
+    met = attach(wide, of_prefix, "k", 256)
+    exact = F.col("k.len") == F.col("__len")
+    own = F.exists("roas", lambda r: r["asn"] == F.col("origin"))
+    allowed = F.exists("roas", lambda r: (r["asn"] == F.col("origin")) & (F.coalesce(r["max_length"], F.col("k.len")) >= F.col("__len")))
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    found = met.groupBy("origin", "prefix").agg(any_(exact).alias("e"), any_(exact & own).alias("eo"), any_(own).alias("co"), any_(own & allowed).alias("ro"))
+    met = met.select("origin", "prefix", exact.alias("exact"), own.alias("own"), allowed.alias("allowed"))
+    found = met.groupBy("origin", "prefix").agg(
+        any_(F.col("exact")).alias("e"), any_(F.col("exact") & F.col("own")).alias("eo"), any_(F.col("own")).alias("co"), any_(F.col("allowed")).alias("ro")
+    )
     valid = F.col("ro") if rfc6811 else F.when(F.col("e"), F.col("eo")).otherwise(F.col("co"))
     return pairs.join(found.select("origin", "prefix", valid.alias("valid")), ["origin", "prefix"], "left").select(
         "origin", "prefix", F.coalesce("valid", F.lit(False)).alias("valid")

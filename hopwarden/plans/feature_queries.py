@@ -141,15 +141,25 @@ def _newest(spark: SparkSession, d: str, t: str) -> DataFrame:
 @R.query(_distance_sql())
 def ref_d05_attribute_distances(spark: SparkSession, d: str) -> DataFrame:
     """Distances of the ends' neighbourhoods by country, facility, facility country, facility city and exchange."""
-    graph, found = whole_graph(spark, d), []
+    graph = whole_graph(spark, d)
+    return distances(graph, graph, attributes(spark, d))
+
+
+def distances(links: DataFrame, graph: DataFrame, of: dict[str, DataFrame]) -> DataFrame:
+    return features.join_families([features.cosine_distance(links, features.attribute_vectors(graph, a), name) for name, a in of.items()], ["as1", "as2"])
+
+
+def attributes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """(asn, attr) of the newest snapshots by the name of their distance."""
+    found = {}
     for name, (t, asn, attr) in _ATTRIBUTES.items():
         rows = _newest(spark, d, t)
         if "min" in attr:
             pairs = rows.groupBy(F.col(asn).alias("asn")).agg(F.min("country").alias("attr"))
         else:
             pairs = rows.select(F.col(asn).alias("asn"), F.col(attr).cast("string").alias("attr"))
-        found.append(features.cosine_distance(graph, features.attribute_vectors(graph, pairs), name))
-    return features.join_families(found, ["as1", "as2"])
+        found[name] = pairs
+    return found
 
 
 def _pattern_sql() -> str:
