@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,6 +121,13 @@ def training_frame(positive: dict[str, DataFrame], negative: dict[str, DataFrame
     return side(negative, 0).unionByName(side(positive, 1))
 
 
+def training_window(samples: DataFrame, day: date, days: int) -> DataFrame:
+    """Samples (day, label, ...) of the day and the `days` before it; days that lack one of the labels are left out."""
+    inside = samples.filter(F.col("day").between(F.date_sub(F.lit(day), days), F.lit(day)))
+    whole = inside.groupBy("day").agg(F.count_distinct("label").alias("n")).filter("n = 2").select("day")
+    return inside.join(F.broadcast(whole), "day", "left_semi")  # one row per day of the window
+
+
 def exclude_features(df: DataFrame, excluded: list[str]) -> DataFrame:
     """Without the excluded features, be they of the link or of its ends."""
     names = {n for f in excluded for n in (f, f"{f}_as1", f"{f}_as2")}

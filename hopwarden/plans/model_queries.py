@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopwarden.functions import paths
-from hopwarden.operators import features, learning, sampling, topology
-from hopwarden.plans.graph_queries import SQL_DAYS, SQL_GRAPH, ribs, whole_graph
+from hopwarden.operators import features, graph, learning, sampling, topology
+from hopwarden.plans.feature_queries import attributes, distances
+from hopwarden.plans.graph_queries import SQL_DAYS, SQL_GRAPH, fresh_links, last_day, ribs, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
 from hopwarden.session import cut_lineage, once, table
@@ -105,12 +106,12 @@ POSITIVE_SQL = f"""with {SQL_DAYS}, {SQL_SAMPLING}, raw as (select c1, c2, pow(c
 @R.query(POSITIVE_SQL)
 def ref_k04_positive_sample(spark: SparkSession, d: str) -> DataFrame:
     """Forged links by category pair."""
-    graph, labels = whole_graph(spark, d), _labels(spark, d)
-    counts = sampling.categories(graph, labels).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
+    known, labels = whole_graph(spark, d), _labels(spark, d)
+    counts = sampling.categories(known, labels).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     probabilities = features.category_probability(counts, 0.75).select("c1", "c2", "p")
     origins = _paths(spark, d).select(paths.victim(F.col("a")).alias("origin"), "path")
     registry = topology.undirected(ribs(spark, d))
-    return sampling.forged_links(labels, probabilities, graph, registry, origins, SAMPLE)
+    return sampling.forged_links(labels, probabilities, known, registry, origins, SAMPLE)
 
 
 @R.query()
@@ -119,33 +120,73 @@ def ref_k01_clusters(spark: SparkSession, d: str) -> DataFrame:
     return sampling.cluster_ases(topology.degree_and_cone(whole_graph(spark, d), ribs(spark, d).select("as1", "as2"), newest_cones(spark, d)))
 
 
-FEATURES = ["degree_as1", "degree_as2", "num_paths", "num_susp_inf", "nb_vps"]
+KEYS = ("as1", "as2", "label")
 
 
-def _training(spark: SparkSession, d: str) -> DataFrame:
-    """Judged links with a few features of both ends, missing ones as 1.0."""
-    graph = whole_graph(spark, d)
-    deg = topology.degrees(graph)
-    rows = table(spark, d, "inference_summary").select(
-        "id", F.least("asn1", "asn2").alias("as1"), F.greatest("asn1", "asn2").alias("as2"), "num_paths", "num_susp_inf", (F.col("classification") == "sus").cast("int").alias("label")
-    )
-    observers = table(spark, d, "new_link").select(F.col("peer_asn").alias("asn"))
-    for a in ("as1", "as2"):
-        rows = rows.join(deg.select(F.col("asn").alias(a), F.col("degree").alias(f"degree_{a}")), a, "left")
-    return rows.join(features.neighbouring_observers(rows, graph, observers).distinct(), ["as1", "as2"], "left").fillna(1.0, FEATURES)
+def families(spark: SparkSession, d: str, links: DataFrame) -> dict[str, DataFrame]:
+    """The feature families of links without paths: topological, bidirectional with neighbouring observers, distances."""
+    graph_ = cut_lineage(whole_graph(spark, d))
+    recent = table(spark, d, "updates_links").filter(F.col("obs_date") > F.date_sub(F.lit(last_day(spark, d)), features.BIDI_DAYS))
+    observers = table(spark, d, "new_link").select(F.col("peer_asn").alias("asn")).distinct()
+    both = features.bidirectional(links, recent, ribs(spark, d)).join(features.neighbouring_observers(links, graph_, observers), ["as1", "as2"])
+    return {
+        "topological": graph.topological_features(links, graph_),
+        "bidirectionality": both,
+        "peeringdb": distances(links, graph_, attributes(spark, d)),
+    }
+
+
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Existing links (label 0) and forged ones (label 1) with all families; nothing in them comes from a verdict."""
+    forged = cut_lineage(ref_k04_positive_sample(spark, d).select("as1", "as2"))
+    real = cut_lineage(ref_k03_negative_sample(spark, d).select("as1", "as2"))
+    made = {n: cut_lineage(f) for n, f in families(spark, d, forged.unionByName(real)).items()}
+    of = lambda links: {n: f.join(links, ["as1", "as2"], "left_semi") for n, f in made.items()}
+    return cut_lineage(features.training_frame(of(forged), of(real)))
+
+
+def _names(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in KEYS]
 
 
 @R.query()
 def ref_m05_inference(spark: SparkSession, d: str) -> DataFrame:
-    """Forests of several cost weights, applied to all judged links."""
-    rows = _training(spark, d)
-    models = learning.train_all(rows, FEATURES)
-    return learning.infer(rows, models, FEATURES).select("id", "as1", "as2", "label", "proba", "sensitivity")
+    """Forests of all cost weights, trained on forged and existing links, applied to the links first seen on the last day."""
+    rows = training_rows(spark, d)
+    names = _names(rows)
+    models = learning.train_all(rows, names)
+    links = cut_lineage(fresh_links(spark, d))
+    asked = features.join_families([f.fillna(1.0) for f in families(spark, d, links).values()], ["as1", "as2"])
+    return learning.infer(cut_lineage(asked), models, names).select("as1", "as2", "label", "proba", "sensitivity")
+
+
+@R.query()
+def ref_m06_importance(spark: SparkSession, d: str) -> DataFrame:
+    """How much each feature decides in a forest of the training rows."""
+    rows = training_rows(spark, d)
+    names = _names(rows)
+    found = learning.importance(learning.train(rows, names), names)
+    return spark.createDataFrame(sorted(found.items()), "feature string, importance double")
 
 
 @R.query()
 def ref_m07_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    return learning.evaluate(_training(spark, d), FEATURES)
+    """TPR and FPR of a forest on held-out forged and existing links."""
+    rows = training_rows(spark, d)
+    return learning.evaluate(rows, _names(rows))
+
+
+@R.query(
+    f"""with s as (select cast(observed_at as date) as day, least(asn1, asn2) as as1, greatest(asn1, asn2) as as2, cast(classification = 'sus' as int) as label from inference_summary),
+    q as (select max(day) as d from s), ok as (select day from s group by day having count(distinct label) = 2)
+    select s.day, as1, as2, label from s semi join ok using (day), q where s.day between d - 60 and d"""
+)
+def ref_m02_training_window(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled links of the last 60 days, days without either label left out."""
+    rows = table(spark, d, "inference_summary").select(
+        F.to_date("observed_at").alias("day"), *topology.link_columns("asn1", "asn2"), (F.col("classification") == "sus").cast("int").alias("label")
+    )
+    return features.training_window(rows, rows.agg(F.max("day")).first()[0], 60)
 
 
 @R.query()

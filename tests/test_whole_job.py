@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 import __spark_entry__ as entry
 from hopwarden.operators import learning, verdict
+from hopwarden.plans import graph_queries
 
 LAST = date(2025, 3, 20)
 
@@ -51,7 +52,7 @@ def test_models_of_all_weights_and_full_size(spark, monkeypatch):
 
     monkeypatch.setattr(learning, "train", seen)
     d, q = "/root/testdata/sf0.001", entry.queries()
-    n = spark.read.parquet(f"{d}/inference_summary.parquet").count()
+    n = graph_queries.fresh_links(spark, d).count()
     got = q["ref_m05_inference"](spark, d).groupBy("sensitivity").count().collect()
     assert {r.sensitivity: r["count"] for r in got} == {w: n for w in range(1, 11)}
     q["ref_m07_evaluation"](spark, d).collect()
