@@ -1,8 +1,9 @@
 """The live path: flattening of update messages, new links against a static topology, buffering until confirmation.
 
 A link first seen in one direction is buffered for BUFFER seconds from that sighting. If the other direction shows up
-in that time the link is confirmed, else it is emitted with its distinct paths and observers for inference. The same
-rules hold in batch (`sessions`) and as a stream on event time with a watermark (`live_links`).
+in that time the link is confirmed, else it is to be judged, by its distinct paths and observers. Confirmed or not, a session
+lasts its BUFFER seconds and gives one row at its end. The same rules hold in batch (`sessions`) and as a stream on event
+time with a watermark (`live_links`). Confirmed links then join the topology (`write_back`).
 """
 
 from __future__ import annotations
@@ -90,48 +91,51 @@ def sessions(rows: DataFrame, buffer: int = BUFFER) -> DataFrame:
 
 
 _OUT = "as1 long, as2 long, first_seen timestamp, n_rows long, n_paths long, n_observers long, confirmed boolean"
-_STATE = "first_seen timestamp, forward boolean, n_rows long, paths array<string>, observers array<string>"
+_STATE = "first_seen timestamp, forward boolean, backward boolean, n_rows long, paths array<string>, observers array<string>"
 
 
 def _buffer(seconds: int):
+    span = pd.Timedelta(seconds=seconds)
+
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         held = state.get if state.exists else None
+        first, forward, backward, n, paths, observers = (*held[:4], set(held[4]), set(held[5])) if held else (None, False, False, 0, set(), set())
 
-        def close(s: tuple, confirmed: bool) -> None:
-            out.append((*key, s[0], s[2], len(set(s[3])), len(set(s[4])), confirmed))
+        def close() -> None:
+            out.append((*key, first, n, len(paths), len(observers), bool(forward and backward)))
 
         if state.hasTimedOut:
-            close(held, False)
+            close()
             state.remove()
         else:
-            rows = pd.concat(list(frames)).sort_values("ts")
-            for r in rows.itertuples():
-                if held is not None and r.ts >= held[0] + pd.Timedelta(seconds=seconds):
-                    close(held, False)
-                    held = None
-                if held is None:
-                    held = (r.ts, bool(r.src < r.dst), 0, [], [])
-                held = (held[0], held[1], held[2] + 1, sorted({*held[3], r.path}), sorted({*held[4], r.vp}))
-                if bool(r.src < r.dst) != held[1]:
-                    close(held, True)
-                    held = None
-            if held is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(held)
-                due = int(held[0].timestamp() * 1000) + seconds * 1000
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            rows = pd.concat(list(frames)).sort_values("ts", ignore_index=True)
+            at = 0
+            while at < len(rows):
+                if first is not None and rows["ts"].iloc[at] >= first + span:
+                    close()
+                    first = None
+                if first is None:
+                    first, forward, backward, n, paths, observers = rows["ts"].iloc[at], False, False, 0, set(), set()
+                end = max(at + 1, int(rows["ts"].searchsorted(first + span)))  # all rows of the session at once
+                part = rows.iloc[at:end]
+                up = part["src"] < part["dst"]
+                forward, backward, n = bool(forward or up.any()), bool(backward or (~up).any()), n + len(part)
+                paths.update(part["path"].dropna())
+                observers.update(part["vp"].dropna())
+                at = end
+            state.update((first, forward, backward, n, sorted(paths), sorted(observers)))
+            due = int(first.timestamp() * 1000) + seconds * 1000
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
     return run
 
 
 def live_links(rows: DataFrame, delay: str = "60 seconds", buffer: int = BUFFER) -> DataFrame:
-    """Stream of rows (src, dst, ts timestamp, path, vp) -> a row per buffered link when it is confirmed or its time is up.
+    """Stream of rows (src, dst, ts timestamp, path, vp) -> a row per session of a link, when its time is up.
 
-    Event time with a watermark; a confirmed link is emitted, and forgotten, at once.
+    Event time with a watermark; null paths and observers count for rows only, as in `sessions`.
     """
     keyed = rows.filter("src <> dst").withColumns({"as1": F.least("src", "dst"), "as2": F.greatest("src", "dst")}).withWatermark("ts", delay)
     return keyed.groupBy("as1", "as2").applyInPandasWithState(_buffer(buffer), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -140,3 +144,24 @@ def live_links(rows: DataFrame, delay: str = "60 seconds", buffer: int = BUFFER)
 def feedback(topology: DataFrame, confirmed: DataFrame) -> DataFrame:
     """The topology with the confirmed links added (what a foreachBatch sink writes back)."""
     return topology.select("as1", "as2").unionByName(confirmed.filter("confirmed").select("as1", "as2")).distinct()
+
+
+def write_back(topology: str, results: str):
+    """A foreachBatch function for live_links: sessions of links that the topology does not have yet are written to
+    `results`, confirmed ones added to the topology (parquet of as1, as2, batch).
+
+    The topology is read anew in each batch, so what another job or an earlier batch added is known. Both are written in a
+    partition of the batch's number, so a batch repeated after a loss leaves the same.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema("as1 bigint, as2 bigint, batch bigint").parquet(topology).filter(F.col("batch") != number)
+        fresh = batch.join(known.select("as1", "as2").distinct(), ["as1", "as2"], "left_anti").persist()
+        try:
+            fresh.write.mode("overwrite").parquet(f"{results}/batch={number}")
+            fresh.filter("confirmed").select("as1", "as2").distinct().write.mode("overwrite").parquet(f"{topology}/batch={number}")
+        finally:
+            fresh.unpersist()
+
+    return run

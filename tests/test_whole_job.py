@@ -71,6 +71,34 @@ def test_live_origin_rule(spark):
     assert {(r.origin, r.prefix): r.valid for r in got} == dict(zip(said, (True, False, True)))
 
 
+def test_daily_job(spark, tmp_path):
+    """From updates to the three result tables; a second run leaves the same."""
+    from pyspark.sql import functions as F
+
+    from hopwarden import jobs, schemas
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    updates = frame([(LAST - timedelta(5), 1, 2, "v"), (LAST, 2, 1, "v"), (LAST, 4, 3, "v"), (LAST, 5, 6, "v")], "obs_date date, as1 bigint, as2 bigint, vp_ip string")
+    ribs = frame([], "month date, as1 bigint, as2 bigint")
+    judged = frame([(1, 2, LAST - timedelta(1), "leg")], "as1 bigint, as2 bigint, day date, verdict string")
+    seen = [(1, 4, 3, "9 4 3", "10.0.0.0/8", 9, False), (2, 3, 4, "8 4 3", "10.0.0.0/8", 8, True), (3, 1, 2, "1 2", "10.0.0.0/8", 1, False), (4, 6, 5, None, None, None, None)]
+    sightings = frame(seen, "id bigint, asn1 bigint, asn2 bigint, as_path string, prefix string, peer_asn bigint, is_recurrent boolean")
+    sightings = sightings.withColumns({"observed_at": F.lit(LAST).cast("timestamp"), "peer_ip": F.lit("p")})
+    roas = frame([(3, "10.0.0.0/8", None)], "asn bigint, prefix string, max_length int")
+    susp = lambda rows: rows.select("as1", "as2", F.explode(F.array(F.lit(1), F.lit(2))).alias("sensitivity"), F.lit(1).alias("label"))
+    for _ in range(2):
+        jobs.run_day(updates, ribs, judged, sightings, roas, LAST, susp, str(tmp_path))
+        read = lambda t: spark.read.parquet(f"{tmp_path}/{t}")  # noqa: E731, B023
+        got = {(r.asn1, r.asn2): r for r in read("inference_summary").collect()}
+        r = got[3, 4]
+        assert set(got) == {(3, 4), (5, 6)} and (r.classification, r.confidence_level, r.num_paths, r.attackers, r.victims) == ("sus", 2, 2, [4], [3])
+        assert r.is_origin_rpki_valid and r.is_recurrent and got[5, 6].is_origin_rpki_valid is None
+        assert read("inference_details").count() == 4 and {x.inference_id for x in read("new_link").filter("asn1 in (3, 4)").collect()} == {r.id}
+    schemas.create_tables(spark, str(tmp_path / "made"), ("roa",))
+    assert spark.table("roa").columns == ["asn", "prefix", "max_length", "roa_date"]
+    spark.sql("drop table roa")
+
+
 def test_model_cache(spark, tmp_path, monkeypatch):
     rows, names = spark.createDataFrame([(float(i), i % 2) for i in range(60)], "f double, label int"), ["peeringdb", "topological", "bidirectionality"]
     get = lambda families, **more: learning.cached_models(rows, ["f"], families, str(tmp_path), (1, 2), trees=2, depth=2, **more)
