@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopwarden.functions import dates, paths
 from hopwarden.functions.packed import canonical_path, path_positions
+from hopwarden.operators.skew import attach
 from hopwarden.plans.registry import Registry
 from hopwarden.session import once, table
 
@@ -17,7 +18,7 @@ SQL_TOKENS = r"""select *, list_transform(regexp_extract_all(coalesce(as_path, '
              else t::bigint::varchar end) as toks,
       list_transform(regexp_extract_all(coalesce(as_path, ''), '\{[^}]*\}?|[0-9]+'), lambda t: regexp_extract(t, '[0-9]+')::bigint) as hops
       from new_link"""
-SQL_EXCHANGES = "(select list(asn) from (select distinct asn from netixlan where ix_id % 10 = 0 and asn is not null))"
+SQL_EXCHANGES = "(select list(asn) from (select distinct asn from netixlan where asn is not null))"
 SQL_RESERVED = "((x between 64496 and 131071) or x >= 4200000000)"
 
 
@@ -48,12 +49,14 @@ def _clean_sql(reserved: str) -> str:
 
 
 def _cleaned(spark: SparkSession, d: str, inclusive: bool) -> DataFrame:
-    exchanges = table(spark, d, "netixlan").filter("ix_id % 10 = 0 and asn is not null").select("asn").distinct()
-    # a list of exchange ASNs: public exchanges are a few thousand at most
-    listed = exchanges.agg(F.collect_list("asn").alias("ix"))
-    cleaned = paths.clean(F.col("hops"), F.col("ix"), inclusive)
-    both = links_with_hops(spark, d).select("id", "hops").join(F.broadcast(listed))
-    return both.select("id", paths.joined(cleaned).alias("path"), F.size(cleaned).alias("n"))
+    """Paths without reserved numbers and the ASNs of all exchange ports; a path that loses all its hops is empty."""
+    listed = table(spark, d, "netixlan").filter("asn is not null").select(F.col("asn").alias("x"), F.lit(True).alias("listed")).distinct()
+    rows = links_with_hops(spark, d).select("id", "hops")
+    kept = attach(rows.select("id", F.posexplode("hops").alias("pos", "x")), listed, "x", 16, "left").filter("listed is null")
+    ordered = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "x")))["x"].alias("a"))
+    full = rows.select("id").join(ordered, "id", "left").withColumn("a", F.coalesce("a", F.array().cast("array<bigint>")))
+    p = once(paths.clean(F.col("a"), inclusive=inclusive)).alias("p")
+    return full.select("id", p).select("id", paths.joined(F.col("p")).alias("path"), F.size("p").alias("n"))
 
 
 @R.query(_clean_sql(SQL_RESERVED))
