@@ -116,18 +116,23 @@ def _searcher(sent):
     return run
 
 
-def reach_by_arrays(candidates: DataFrame, links: DataFrame) -> DataFrame:
-    """Reach, distance sum, harmonic sum and greatest distance of both ends, before and after, by searches in arrays.
-
-    The caller has checked that the links take at most SENT_BYTES.
-    """
+def as_arrays(links: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ASes in order, where the neighbours of each begin, and the neighbours by their place in that order."""
     t = neighbours(links).toArrow()
     a, b = (t.column(c).to_numpy() for c in ("asn", "other"))
     nodes = np.unique(a)
     src, dst = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
     order = np.argsort(src, kind="stable")
     starts = np.searchsorted(src[order], np.arange(len(nodes) + 1))
-    sent = links.sparkSession.sparkContext.broadcast((nodes, starts, dst[order]))
+    return nodes, starts, dst[order]
+
+
+def reach_by_arrays(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """Reach, distance sum, harmonic sum and greatest distance of both ends, before and after, by searches in arrays.
+
+    The caller has checked that the links take at most SENT_BYTES.
+    """
+    sent = links.sparkSession.sparkContext.broadcast(as_arrays(links))
     return candidates.select(*LINK).repartition(*LINK).mapInPandas(_searcher(sent), _REACH)
 
 

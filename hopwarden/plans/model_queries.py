@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hopwarden.functions import paths
 from hopwarden.operators import features, graph, learning, sampling, topology
-from hopwarden.plans.feature_queries import attributes, distances
+from hopwarden.operators.distances import attribute_distances
+from hopwarden.plans.feature_queries import attributes
 from hopwarden.plans.graph_queries import SQL_DAYS, SQL_GRAPH, fresh_links, last_day, ribs, whole_graph
 from hopwarden.plans.path_queries import SQL_TOKENS, _collapse_sql, links_with_hops
 from hopwarden.plans.registry import Registry
@@ -132,7 +133,7 @@ def families(spark: SparkSession, d: str, links: DataFrame) -> dict[str, DataFra
     return {
         "topological": graph.topological_features(links, graph_),
         "bidirectionality": both,
-        "peeringdb": distances(links, graph_, attributes(spark, d)),
+        "peeringdb": attribute_distances(links, graph_, attributes(spark, d)),
     }
 
 
