@@ -68,50 +68,61 @@ _REACH = "as1 long, as2 long, apart int, " + ", ".join(
 )
 
 
-def _summary(dist: np.ndarray) -> tuple[int, int, float, int]:
-    seen = dist[dist >= 0]
-    far = seen[seen > 0]
-    return len(seen), int(seen.sum()), float((1.0 / far).sum()), int(seen.max(initial=0))
+def _summaries(within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Reach, distance sum, harmonic sum and greatest distance of each search. within: nodes within 0, 1, ... steps, a row each."""
+    grown, k = np.diff(within, axis=0, prepend=0), np.arange(len(within))[:, None]
+    return within[-1], (grown * k).sum(axis=0), (grown[1:] / k[1:]).sum(axis=0), np.where(grown > 0, k, 0).max(axis=0)
+
+
+def _bit_sums(words: np.ndarray, m: int) -> np.ndarray:
+    """How many words have each of the bits 0 ... m - 1."""
+    return np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[:m]
+
+
+def _searched(nodes: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+    """The rows of _REACH for up to WORD candidates, searched together: a node has a bit for each that reached it."""
+    n, m = len(nodes), len(pairs)
+    at = np.searchsorted(nodes, pairs)
+    there = at < n
+    there[there] = nodes[at[there]] == pairs[there]
+    at = np.where(there, at, n + np.arange(2 * m).reshape(m, 2))  # an end that is not in the graph has no links
+    bits = np.uint64(1) << np.arange(m, dtype=np.uint64)
+    own, barred = [], []  # a candidate's own link is no way, from either end
+    for (u, v), bit in zip(at[there.all(axis=1)], bits[there.all(axis=1)]):
+        for x, y in ((u, v), (v, u)):
+            for i in starts[x] + np.flatnonzero(ends[starts[x] : starts[x + 1]] == y):
+                own.append(i)
+                barred.append(~bit)
+    own, barred = np.array(own, np.int64), np.array(barred, np.uint64)
+    seen = np.zeros((2, n + 2 * m), np.uint64)
+    for i in (0, 1):
+        np.bitwise_or.at(seen[i], at[:, i], bits)
+    fresh, apart, within = seen.copy(), np.full(m, -1), []
+    while True:
+        earlier = seen & ~fresh  # within k of an end after the addition: within k of it, or k - 1 of the other, without the link
+        within.append([_bit_sums(x, m) for x in (seen[0], seen[1], seen[0] | earlier[1], seen[1] | earlier[0])])
+        apart[(fresh[0][at[:, 1]] & bits != 0) & there.all(axis=1)] = len(within) - 1
+        if not fresh.any():
+            break
+        for i in (0, 1):
+            given = fresh[i][ends]
+            np.bitwise_and.at(given, own, barred)
+            got = np.bitwise_or.reduceat(given, starts[:-1]) if n else given  # every node has a link
+            fresh[i] = 0
+            fresh[i][:n] = got & ~seen[i][:n]
+            seen[i] |= fresh[i]
+    sums = [_summaries(x) for x in np.array(within).transpose(1, 0, 2)]
+    before = [x * there[:, i] for i in (0, 1) for x in sums[i]]
+    columns = [pairs[:, 0], pairs[:, 1], apart, *before, *sums[2], *sums[3]]
+    return pd.DataFrame(dict(zip((c.split()[0] for c in _REACH.split(", ")), columns)))
 
 
 def _searcher(sent):
-    def bfs(starts: np.ndarray, ends: np.ndarray, source: int, cut: tuple[int, int]) -> np.ndarray:
-        dist = np.full(len(starts) - 1, -1, np.int64)
-        if source < 0:
-            return dist
-        dist[source] = 0
-        frontier, level = np.array([source]), 0
-        while len(frontier):
-            level += 1
-            counts = starts[frontier + 1] - starts[frontier]
-            offsets = np.repeat(starts[frontier] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-            at = offsets + np.arange(counts.sum())
-            origin, near = np.repeat(frontier, counts), ends[at]
-            barred = ((origin == cut[0]) & (near == cut[1])) | ((origin == cut[1]) & (near == cut[0]))
-            near = near[~barred]
-            frontier = np.unique(near[dist[near] < 0])
-            dist[frontier] = level
-        return dist
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes, starts, ends = sent.value
         for batch in batches:
-            rows = []
-            for a, b in zip(batch["as1"], batch["as2"]):
-                at = np.searchsorted(nodes, [a, b])
-                u, v = (int(i) if i < len(nodes) and nodes[i] == x else -1 for i, x in zip(at, (a, b)))
-                du, dv = bfs(starts, ends, u, (u, v)), bfs(starts, ends, v, (u, v))
-                apart = int(du[v]) if u >= 0 and v >= 0 else -1
-                big = np.int64(1 << 40)
-                fu, fv = np.where(du < 0, big, du), np.where(dv < 0, big, dv)
-                au, av = np.minimum(fu, fv + 1), np.minimum(fv, fu + 1)
-                if v < 0:  # an end that is not in the graph joins it as a leaf
-                    au, av = np.append(fu, 1), np.append(fu + 1, 0)
-                if u < 0:
-                    au, av = (np.append(fv + 1, 0), np.append(fv, 1)) if v >= 0 else (np.array([0, 1]), np.array([1, 0]))
-                au, av = (np.where(x >= big, -1, x) for x in (au, av))
-                rows.append((a, b, apart, *_summary(du), *_summary(dv), *_summary(au), *_summary(av)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REACH.split(", ")])
+            pairs = batch[LINK].to_numpy(np.int64)
+            for i in range(0, len(pairs), WORD):
+                yield _searched(*sent.value, pairs[i : i + WORD])
 
     return run
 
@@ -132,8 +143,9 @@ def reach_by_arrays(candidates: DataFrame, links: DataFrame) -> DataFrame:
 
     The caller has checked that the links take at most SENT_BYTES.
     """
-    sent = links.sparkSession.sparkContext.broadcast(as_arrays(links))
-    return candidates.select(*LINK).repartition(*LINK).mapInPandas(_searcher(sent), _REACH)
+    context = links.sparkSession.sparkContext
+    sent = context.broadcast(as_arrays(links))
+    return candidates.select(*LINK).repartition(context.defaultParallelism, *LINK).mapInPandas(_searcher(sent), _REACH)
 
 
 def reach_by_joins(candidates: DataFrame, links: DataFrame) -> DataFrame:
