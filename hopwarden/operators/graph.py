@@ -130,7 +130,10 @@ def _searcher(sent):
 def as_arrays(links: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ASes in order, where the neighbours of each begin, and the neighbours by their place in that order."""
     t = neighbours(links).toArrow()
-    a, b = (t.column(c).to_numpy() for c in ("asn", "other"))
+    return _arrays(*(t.column(c).to_numpy() for c in ("asn", "other")))
+
+
+def _arrays(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     nodes = np.unique(a)
     src, dst = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
     order = np.argsort(src, kind="stable")
@@ -242,13 +245,66 @@ def spanning_forest(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"a component is deeper than {MAX_ROUNDS} rounds")
 
 
+def _roots(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least node of the component of each: nodes and their roots take the least root among their neighbours."""
+    root = np.arange(len(starts) - 1)
+    while True:
+        near = np.minimum.reduceat(root[ends], starts[:-1])  # every node has a link
+        new = np.minimum(root, near)
+        np.minimum.at(new, root, near)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _bridges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of all bridges, by the labels of links outside a breadth-first tree as in `bridges`."""
+    root = _roots(starts, ends)
+    n = len(root)
+    parent, seen, levels = np.full(n, -1), root == np.arange(n), []
+    front = np.flatnonzero(seen)
+    while len(front):
+        levels.append(front)
+        counts = starts[front + 1] - starts[front]
+        near = ends[np.repeat(starts[front] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        giver = np.repeat(front, counts)[~seen[near]]
+        front, first = np.unique(near[~seen[near]], return_index=True)
+        parent[front], seen[front] = giver[first], True
+    a, b = np.repeat(np.arange(n), np.diff(starts)), ends
+    outside = (a < b) & (parent[a] != b) & (parent[b] != a)
+    x, label = np.zeros(n, np.uint64), np.random.default_rng(1).integers(0, 1 << 64, outside.sum(), np.uint64)
+    for end in (a, b):
+        np.bitwise_xor.at(x, end[outside], label)
+    for level in levels[:0:-1]:
+        np.bitwise_xor.at(x, parent[level], x[level])
+    cut = np.flatnonzero((parent >= 0) & (x == 0))
+    return cut, parent[cut]
+
+
+def bridges_by_arrays(links: DataFrame) -> DataFrame:
+    """The same as bridges, by one task; the caller has checked that the links take at most SENT_BYTES."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [batch[LINK].to_numpy(np.int64) for batch in batches]
+        if sum(map(len, parts)):
+            a, b = np.concatenate(parts).T
+            nodes, starts, ends = _arrays(np.concatenate([a, b]), np.concatenate([b, a]))
+            found = np.sort(nodes[np.stack(_bridges(starts, ends), axis=1)], axis=1)
+            yield pd.DataFrame(found, columns=LINK)
+
+    return links.select(*LINK).repartition(1).mapInPandas(find, "as1 long, as2 long")
+
+
 def bridges(links: DataFrame, forest: DataFrame | None = None) -> DataFrame:
     """(as1, as2): the links whose ends fall apart without them, all found together in time linear in the links.
 
-    Each link outside the spanning forest gets a random 64-bit label, each AS the xor of its links' labels. A tree link is a
+    Without a forest, links of up to SENT_BYTES are searched in arrays. Each link outside the spanning forest gets a random 64-bit label, each AS the xor of its links' labels. A tree link is a
     bridge where the xor over the subtree below it is 0: then no outside link leaves the subtree. That another sum of labels
     is 0 by chance has a probability of 2^-64 a link.
     """
+    if forest is None and links.count() * BYTES_A_LINK <= SENT_BYTES:
+        return bridges_by_arrays(links)
     forest = spanning_forest(links) if forest is None else forest
     tree = forest.filter("parent is not null").select(F.least("asn", "parent").alias("as1"), F.greatest("asn", "parent").alias("as2"))
     outside = links.select(*LINK).join(tree, LINK, "left_anti").select(F.explode(F.array(*LINK)).alias("asn"), F.xxhash64(F.lit(1), *LINK).alias("x"))
@@ -287,6 +343,7 @@ def topological_features(candidates: DataFrame, links: DataFrame) -> DataFrame:
     cn = shared.groupBy(*LINK).agg(F.count(F.lit(1)).alias("cn"), F.sum(1 / F.log(F.col("degree").cast("double"))).alias("aa"))
     inside = links.select(*LINK, F.lit(1).alias("inside"))
     base = base.join(cn, LINK, "left").join(inside, LINK, "left").join(reach(candidates, links), LINK).join(F.broadcast(n))
+    base = cut_lineage(base)  # else the driver plans the long expressions below anew after each stage of the joins
     zero = F.lit(0).cast("bigint")
     base = base.withColumn("absent", F.col("d1").isNull().cast("bigint") + F.col("d2").isNull().cast("bigint"))
     base = base.select("*", *[F.coalesce(c, zero).alias(f"_{c}") for c in ("d1", "d2", "s1", "s2", "t1", "t2", "cn")], F.coalesce("inside", F.lit(0)).alias("_in"), F.coalesce("aa", F.lit(0.0)).alias("_aa"))

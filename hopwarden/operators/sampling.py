@@ -32,18 +32,25 @@ def categories(links: DataFrame, labels: DataFrame) -> DataFrame:
     return links.join(x, "as1").join(y, "as2").select("as1", "as2", F.least("l_as1", "l_as2").alias("c1"), F.greatest("l_as1", "l_as2").alias("c2"))
 
 
-def negative_sample(links: DataFrame, labels: DataFrame, carried: DataFrame, size: int, k: float = 1.0, seed: str = "0") -> DataFrame:
-    """(as1, as2, path): existing links by damped category probability, no bridges, each with a path that runs over it.
+def negative_links(links: DataFrame, labels: DataFrame, carried: DataFrame, size: int, k: float = 1.0, seed: str = "0") -> DataFrame:
+    """(as1, as2): existing links by damped category probability, no bridges, of those in `carried` (as1, as2).
 
-    carried: (as1, as2, path) with at least one path per link to be drawn. Probabilities count bridges too; they are found
-    once, in the whole graph. Fewer links than wanted: all of them.
+    links are read several times. Probabilities count bridges too; they are found once, in the whole graph. Fewer links than
+    wanted: all of them.
     """
-    links = cut_lineage(links)
     named = cut_lineage(categories(links, labels).join(carried.select("as1", "as2").distinct(), ["as1", "as2"], "left_semi"))
     counts = named.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     weights = F.broadcast(category_probability(counts, k).select("c1", "c2", (F.col("p") / F.col("n")).alias("w")))  # one row per category pair
     kept = named.join(weights, ["c1", "c2"]).join(bridges(links), ["as1", "as2"], "left_anti")
-    chosen = weighted_sample(kept, F.col("w"), uniform(F.lit(seed), "as1", "as2"), size, ["as1", "as2"]).select("as1", "as2")
+    return weighted_sample(kept, F.col("w"), uniform(F.lit(seed), "as1", "as2"), size, ["as1", "as2"]).select("as1", "as2")
+
+
+def negative_sample(links: DataFrame, labels: DataFrame, carried: DataFrame, size: int, k: float = 1.0, seed: str = "0") -> DataFrame:
+    """(as1, as2, path): negative_links, each with a path that runs over it.
+
+    carried: (as1, as2, path) with at least one path per link to be drawn.
+    """
+    chosen = negative_links(cut_lineage(links), labels, carried, size, k, seed)
     return chosen.join(carried, ["as1", "as2"]).groupBy("as1", "as2").agg(F.min_by("path", F.md5(F.concat_ws(" ", F.lit(seed), "path"))).alias("path"))
 
 

@@ -25,7 +25,11 @@ SQL_U = "(cast(('0x' || substr(md5({}), 1, 8)) as ubigint)::double + 1) / 429496
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    deg = topology.degrees(whole_graph(spark, d))
+    return _labels_of(whole_graph(spark, d))
+
+
+def _labels_of(known: DataFrame) -> DataFrame:
+    deg = topology.degrees(known)
     return deg.select("asn", F.least(paths.degree_bucket(F.col("degree")), F.lit(4)).alias("label"))
 
 
@@ -107,10 +111,13 @@ POSITIVE_SQL = f"""with {SQL_DAYS}, {SQL_SAMPLING}, raw as (select c1, c2, pow(c
 @R.query(POSITIVE_SQL)
 def ref_k04_positive_sample(spark: SparkSession, d: str) -> DataFrame:
     """Forged links by category pair."""
-    known, labels = whole_graph(spark, d), _labels(spark, d)
-    counts = sampling.categories(known, labels).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
-    probabilities = features.category_probability(counts, 0.75).select("c1", "c2", "p")
     origins = _paths(spark, d).select(paths.victim(F.col("a")).alias("origin"), "path")
+    return _forged(spark, d, whole_graph(spark, d), _labels(spark, d), origins)
+
+
+def _forged(spark: SparkSession, d: str, known: DataFrame, labels: DataFrame, origins: DataFrame) -> DataFrame:
+    counts = sampling.categories(known, labels).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
+    probabilities = cut_lineage(features.category_probability(counts, 0.75).select("c1", "c2", "p"))
     registry = topology.undirected(ribs(spark, d))
     return sampling.forged_links(labels, probabilities, known, registry, origins, SAMPLE)
 
@@ -124,9 +131,9 @@ def ref_k01_clusters(spark: SparkSession, d: str) -> DataFrame:
 KEYS = ("as1", "as2", "label")
 
 
-def families(spark: SparkSession, d: str, links: DataFrame) -> dict[str, DataFrame]:
+def families(spark: SparkSession, d: str, links: DataFrame, graph_: DataFrame | None = None) -> dict[str, DataFrame]:
     """The feature families of links without paths: topological, bidirectional with neighbouring observers, distances."""
-    graph_ = cut_lineage(whole_graph(spark, d))
+    graph_ = cut_lineage(whole_graph(spark, d)) if graph_ is None else graph_
     recent = table(spark, d, "updates_links").filter(F.col("obs_date") > F.date_sub(F.lit(last_day(spark, d)), features.BIDI_DAYS))
     observers = table(spark, d, "new_link").select(F.col("peer_asn").alias("asn")).distinct()
     both = features.bidirectional(links, recent, ribs(spark, d)).join(features.neighbouring_observers(links, graph_, observers), ["as1", "as2"])
@@ -137,11 +144,28 @@ def families(spark: SparkSession, d: str, links: DataFrame) -> dict[str, DataFra
     }
 
 
+def _met(spark: SparkSession, d: str, known: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(as1, as2) and (origin): the known links that some path runs over and the labelled ASes where some path ends.
+
+    The paths are read once: the last hop of each is one more pair, of the AS with itself, beside those of its links.
+    """
+    last = paths.victim(F.col("a"))
+    steps = F.concat(F.filter(paths.pairs(F.col("a")), lambda z: z["a"] != z["b"]), F.array(F.struct(last.alias("a"), last.alias("b"))))
+    met = _paths(spark, d).select(F.inline(steps)).select(F.least("a", "b").alias("as1"), F.greatest("a", "b").alias("as2"), F.lit(1).alias("side"))
+    asked = known.select("as1", "as2").unionByName(labels.select(F.col("asn").alias("as1"), F.col("asn").alias("as2"))).withColumn("side", F.lit(2))
+    both = cut_lineage(met.unionByName(asked).groupBy("as1", "as2").agg(F.bit_or("side").alias("side")).filter("side = 3").select("as1", "as2"))
+    return both.filter("as1 < as2"), both.filter("as1 = as2").select(F.col("as1").alias("origin"))
+
+
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     """Existing links (label 0) and forged ones (label 1) with all families; nothing in them comes from a verdict."""
-    forged = cut_lineage(ref_k04_positive_sample(spark, d).select("as1", "as2"))
-    real = cut_lineage(ref_k03_negative_sample(spark, d).select("as1", "as2"))
-    made = {n: cut_lineage(f) for n, f in families(spark, d, forged.unionByName(real)).items()}
+    known = cut_lineage(whole_graph(spark, d))
+    labels = cut_lineage(_labels_of(known))
+    carried, origins = _met(spark, d, known, labels)
+    # the links drawn are those of ref_k03 and ref_k04; which paths they have does not matter here
+    forged = _forged(spark, d, known, labels, origins.withColumn("path", F.lit(""))).select("as1", "as2")
+    real = cut_lineage(sampling.negative_links(known, labels, carried, SAMPLE))
+    made = {n: cut_lineage(f) for n, f in families(spark, d, forged.unionByName(real), known).items()}
     of = lambda links: {n: f.join(links, ["as1", "as2"], "left_semi") for n, f in made.items()}
     return cut_lineage(features.training_frame(of(forged), of(real)))
 
